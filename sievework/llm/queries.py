@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import exact_copies
+from sievework.llm import exact_copies, visual_form
 from sievework.session import table
 
 
@@ -19,7 +19,15 @@ def p2_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies.collapse(encoded, "ordinal").select(F.col("first_key").alias("first_ordinal"), "copies")
 
 
-QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = [
+        visual_form.same_looks(table(spark, sf_dir, name), "ordinal", text).select(F.lit(name).alias("tbl"), F.col("key_a").alias("ordinal_a"), F.col("key_b").alias("ordinal_b"))
+        for name, text in (("false_positive_evidence", "text"), ("adversarial_rows", "body"))
+    ]
+    return pairs[0].unionByName(pairs[1])
+
+
+QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p7_found": p7_found}
 
 _P2 = r"""
 WITH r AS (
