@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import exact_copies, visual_form
+from sievework.llm import exact_copies, near_copies, residue, visual_form
 from sievework.session import table
 
 
@@ -19,6 +19,45 @@ def p2_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies.collapse(encoded, "ordinal").select(F.col("first_key").alias("first_ordinal"), "copies")
 
 
+def _residue_parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Evidence and probes in one form: tbl, key, host, text, titled, status."""
+    host = lambda c: F.regexp_extract(F.lower(F.col(c)), "://([^/:?#]+)", 1)
+    evidence = table(spark, sf_dir, "false_positive_evidence").select(F.lit("false_positive_evidence").alias("tbl"), F.col("ordinal").alias("key"), host("url").alias("host"), "text", F.col("title").isNotNull().alias("titled"), F.lit(None).cast("double").alias("status"))
+    probes = table(spark, sf_dir, "adversarial_rows").select(F.lit("adversarial_rows").alias("tbl"), F.col("ordinal").alias("key"), host("url").alias("host"), F.col("body").alias("text"), F.coalesce(F.col("body").contains("<title>"), F.lit(False)).alias("titled"), F.col("status").cast("double"))
+    return [evidence, probes]
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _residue_parts(spark, sf_dir)
+    model = residue.fit(parts)
+    return residue.residue(parts[0].unionByName(parts[1]), model, ["tbl", "key"]).withColumnRenamed("key", "ordinal")
+
+
+def p3_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the labelled probes on hosts that were not trained on: how many the classifier gets right."""
+    parts = _residue_parts(spark, sf_dir)
+    model = residue.fit(parts)
+    labelled = table(spark, sf_dir, "adversarial_rows").where("expected_valid is not null and body is not null").select(F.col("ordinal").alias("key"), "expected_valid")
+    unseen = parts[1].where(residue.bucket(F.coalesce("host", F.lit(""))) == 0).join(labelled, "key").drop("expected_valid")
+    scored = residue.score(unseen, model, ["key"]).join(labelled, "key")
+    return scored.groupBy("expected_valid").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.when((F.col("score") > 0.5) != F.col("expected_valid"), 1).otherwise(0)).alias("n_right"))
+
+
+def _evidence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "false_positive_evidence").where("text <> ''")
+    return rows.select("ordinal", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("text")).alias("text"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_copies.links(visual_form.common_form(_evidence_texts(spark, sf_dir), ["ordinal"], "text"), "ordinal", "form", near_copies.FOUND)
+    return near_copies.expand(found).select(F.col("key_a").alias("ordinal_a"), F.col("key_b").alias("ordinal_b"))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_copies.links(visual_form.common_form(_evidence_texts(spark, sf_dir), ["ordinal"], "text"), "ordinal", "form", near_copies.FOUND)
+    return near_copies.groups(found).select(F.col("key").alias("ordinal"), "group_id")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = [
         visual_form.same_looks(table(spark, sf_dir, name), "ordinal", text).select(F.lit(name).alias("tbl"), F.col("key_a").alias("ordinal_a"), F.col("key_b").alias("ordinal_b"))
@@ -27,7 +66,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs[0].unionByName(pairs[1])
 
 
-QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p7_found": p7_found}
+QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p3_validation": p3_validation, "p4_found": p4_found, "p4_groups": p4_groups, "p7_found": p7_found}
 
 _P2 = r"""
 WITH r AS (
