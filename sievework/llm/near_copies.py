@@ -14,11 +14,11 @@ principle no pair is lost while the probed partitions of a text hold more bits t
 * Estimates: all shingles of all texts are counted into 2**COUNTER_BITS counters, whose logarithms are broadcast
   (a fixed 4 MB). A counter holds at least the true count, so that a shingle counted once has no partner and is
   never sent. The estimates decide only what a probe costs, never what is found.
-* Verification: probes carry the sizes, positions and a 95-bit parity code of the vector. The codes of two vectors
+* Verification: probes carry the sizes, positions and a 126-bit parity code of the vector. The codes of two vectors
   differ in at most as many places as the vectors; candidates beyond H are dropped in the join. What is left is
   verified on the shingles themselves.
 
-Texts with the same shingles are one class; links are found between classes and expanded at the end, if wanted.
+Texts with the same words in the same order are one class; links are found between classes and expanded at the end, if wanted.
 
 Defined results: null and empty texts and those of fewer than Settings.least_words words take no part. Keys must be unique and not
 null. Ties in size are probed in the order of the keys, each pair once. An empty table gives an empty result.
@@ -110,11 +110,15 @@ def shingles(texts: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
         gram = _mix(gram + flat[k : n + k] * np.uint64(0x9E3779B97F4A7C15))
     whole = owner[:n] == owner[s.shingle - 1 :]
     gram, owner = gram[whole], owner[:n][whole]
-    order = np.lexsort((gram, owner))
-    gram, owner = gram[order], owner[order]
-    first = np.ones(len(gram), bool)
-    first[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
-    return gram[first], owner[first]
+    # the text and the upper bits of the hash, in one integer: one fast sort, and equal shingles of a text meet
+    keep = np.uint64(max(1, int(owner.max() if len(owner) else 0).bit_length()))
+    both = np.sort((owner.astype(np.uint64) << (np.uint64(64) - keep)) | (gram >> keep))
+    first = np.ones(len(both), bool)
+    first[1:] = both[1:] != both[:-1]
+    both = both[first]
+    owner = (both >> (np.uint64(64) - keep)).astype(np.int64)
+    # a batch has fewer than 2**16 texts: what all batches share of a hash is its upper 48 bits
+    return (both << keep) >> np.uint64(16), owner
 
 
 def _count(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
@@ -161,16 +165,6 @@ def need(n, m, t):
     return np.ceil(np.round(t * (n + m) / (1 + t), 9))
 
 
-def _classes(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        gram, owner = shingles(b["text"].to_pylist(), s)
-        ids, start = np.unique(owner, return_index=True)
-        if not len(ids):
-            continue
-        a, x = np.add.reduceat(_mix(gram), start), np.bitwise_xor.reduceat(_mix(gram + np.uint64(0x51ED27)), start)
-        yield pa.RecordBatch.from_arrays([b["key"].take(pa.array(ids)), pa.array(a.view(np.int64)), pa.array(x.view(np.int64))], ["key", "sum", "xor"])
-
-
 def _probes(batches: Iterator[pa.RecordBatch], s: Settings, counts) -> Iterator[pa.RecordBatch]:
     """The probed prefix of each text: shingle, key, size, position, parity code."""
     table, mask = counts.value, np.uint64((1 << COUNTER_BITS) - 1)
@@ -179,19 +173,22 @@ def _probes(batches: Iterator[pa.RecordBatch], s: Settings, counts) -> Iterator[
         if not len(gram):
             continue
         cost = table[(gram & mask).astype(np.int64)]
-        order = np.lexsort((_mix(gram), cost, owner))
-        gram, owner, cost = gram[order], owner[order], cost[order]
         ids, start, size = np.unique(owner, return_index=True, return_counts=True)
-        bit = (_mix(gram + np.uint64(0xC0DE)) % np.uint64(95)).astype(np.int64)
-        high = np.bitwise_xor.reduceat(np.where(bit < 64, np.uint64(1) << (bit % 64).astype(np.uint64), np.uint64(0)), start)
-        low = np.bitwise_xor.reduceat(np.where(bit >= 64, np.int32(1) << (np.maximum(bit, 64) - 64).astype(np.int32), np.int32(0)).astype(np.int32), start)
+        mixed = _mix(gram)
+        order = np.argsort((owner.astype(np.uint64) << np.uint64(48)) | (cost.astype(np.uint64) << np.uint64(40)) | (mixed >> np.uint64(24)))
+        bit = mixed & np.uint64(127)
+        bit = np.where(bit > 125, bit - np.uint64(64), bit)
+        one = np.uint64(1) << (bit % np.uint64(63))
+        high = np.bitwise_xor.reduceat(np.where(bit < 63, one, np.uint64(0)), start)
+        low = np.bitwise_xor.reduceat(np.where(bit >= 63, one, np.uint64(0)), start)
+        gram, cost = gram[order], cost[order]
         which = np.repeat(np.arange(len(ids)), size)
         place = np.arange(len(gram)) - start[which]
         # a partner has at least t times as many shingles, so at most size - ceil(t size) of these are missing in it
-        keep = (place <= size[which] - np.ceil(np.round(s.similarity * size[which], 9))) & (cost > 1)
+        keep = (place <= size[which] - np.ceil(np.round(s.similarity * size[which], 9))) & (cost > 1)  # a counter of one: no other text has the shingle
         w = which[keep]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(gram[keep].view(np.int64)), b["key"].take(pa.array(ids[w])), pa.array(size[w].astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(high[w].view(np.int64)), pa.array(low[w])],
+            [pa.array(gram[keep].view(np.int64)), b["key"].take(pa.array(ids[w])), pa.array(size[w].astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(high[w].view(np.int64)), pa.array(low[w].view(np.int64))],
             ["shingle", "key", "size", "place", "high", "low"],
         )
 
@@ -200,7 +197,7 @@ def _sets(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordB
     for b in batches:
         gram, owner = shingles(b["text"].to_pylist(), s)
         ids, start = np.unique(owner, return_index=True)
-        small = (gram >> np.uint64(32)).astype(np.uint32)
+        small = (gram & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         yield pa.RecordBatch.from_arrays([b["key"].take(pa.array(ids)), pa.array([x.tobytes() for x in np.split(small, start[1:])] if len(ids) else [], pa.binary())], ["key", "set"])
 
 
@@ -216,13 +213,15 @@ def _verify(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBa
 def links(texts: DataFrame, key: str, text: str, s: Settings = Settings()) -> Found:
     """All links of similarity s.similarity or more between classes of texts with the same shingles."""
     spark = texts.sparkSession
-    rows = materialise(texts.where(F.col(text) != "").select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")), "near-texts")
-    marks = rows.mapInArrow(partial(_classes, s=s), "key bigint, sum bigint, xor bigint")
-    firsts = marks.groupBy("sum", "xor").agg(F.min("key").alias("class_id"))
-    members = materialise(marks.join(firsts, ["sum", "xor"]).select("key", "class_id"), "near-members")
+    rows = texts.where(F.col(text) != "").select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    plain = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
+    count = F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1
+    worded = rows.select("key", plain.alias("plain")).where((F.col("plain") != "") & (count >= max(s.least_words, s.shingle)))
+    marks = materialise(worded.select("key", F.unhex(F.md5(F.col("plain").cast("binary"))).alias("digest")), "near-digests")
+    members = materialise(marks.join(marks.groupBy("digest").agg(F.min("key").alias("class_id")), "digest").select("key", "class_id"), "near-members")
     single = materialise(rows.join(members.where("key = class_id").select("key"), "key", "left_semi"), "near-classes")
     counts = spark.sparkContext.broadcast(counters(single, s))  # 2**COUNTER_BITS bytes
-    probes = single.mapInArrow(partial(_probes, s=s, counts=counts), "shingle bigint, key bigint, size int, place int, high bigint, low int")
+    probes = single.mapInArrow(partial(_probes, s=s, counts=counts), "shingle bigint, key bigint, size int, place int, high bigint, low bigint")
     a, b = probes.alias("a"), probes.alias("b")
     t = s.similarity
     least = F.ceil(F.round(F.lit(t / (1 + t)) * (F.col("a.size") + F.col("b.size")), 9))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import exact_copies, near_copies, residue, visual_form
+from sievework.llm import exact_copies, mojibake, near_copies, residue, truncation, visual_form
 from sievework.session import table
 
 
@@ -58,6 +58,21 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.groups(found).select(F.col("key").alias("ordinal"), "group_id")
 
 
+def _cut(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
+    parts = (("false_positive_evidence", "source_id", "text"), ("b4_results", "host", "snippet"))
+    return [(name, truncation.judge(table(spark, sf_dir, name), ["ordinal"], source, text)) for name, source, text in parts]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = [judged.where("cut").select(F.lit(name).alias("tbl"), "ordinal") for name, judged in _cut(spark, sf_dir)]
+    return a.unionByName(b)
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = [truncation.rates(judged).select(F.lit(name).alias("tbl"), "*") for name, judged in _cut(spark, sf_dir)]
+    return a.unionByName(b)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = [
         visual_form.same_looks(table(spark, sf_dir, name), "ordinal", text).select(F.lit(name).alias("tbl"), F.col("key_a").alias("ordinal_a"), F.col("key_b").alias("ordinal_b"))
@@ -66,7 +81,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs[0].unionByName(pairs[1])
 
 
-QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p3_validation": p3_validation, "p4_found": p4_found, "p4_groups": p4_groups, "p7_found": p7_found}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("restored", "text")
+
+
+QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p3_validation": p3_validation, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_rates": p5_rates, "p7_found": p7_found, "p10_found": p10_found, "p10_restored": p10_restored}
 
 _P2 = r"""
 WITH r AS (
