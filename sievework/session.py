@@ -55,3 +55,17 @@ def children(spark: SparkSession, path: str) -> list[str]:
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+
+def put_file(spark: SparkSession, label: str, data: bytes) -> str:
+    """Write a file to the shared folder and have Spark hand it to all executors, also to those that start later; its name."""
+    jvm = spark.sparkContext._jvm
+    path = f"{shared_dir(spark)}/sievework/{label}-{uuid.uuid4().hex}.bin"
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[1]
