@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import exact_copies, mojibake, near_copies, residue, truncation, visual_form
-from sievework.session import table
+from sievework.llm import encode, exact_copies, mixing, mojibake, near_copies, residue, truncation, visual_form
+from sievework.session import materialise, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,24 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs[0].unionByName(pairs[1])
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.encode(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+
+
+def _mixed(spark: SparkSession, sf_dir: str):
+    counted = encode.encode(table(spark, sf_dir, "documents").join(F.broadcast(table(spark, sf_dir, "mix_targets").select("source")), "source", "left_semi"), ["doc_id", "source"], "text", counts=True)
+    return mixing.mix(materialise(counted, "token-counts"), "doc_id", "source", table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen, found = _mixed(spark, sf_dir)
+    return mixing.shares(chosen, "source", found)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
 
@@ -89,7 +107,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("restored", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p3_validation": p3_validation, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_rates": p5_rates, "p7_found": p7_found, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p3_validation": p3_validation, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_rates": p5_rates, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_restored": p10_restored}
 
 _P2 = r"""
 WITH r AS (
