@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import encode, exact_copies, mixing, mojibake, near_copies, residue, truncation, visual_form
+from sievework.llm import boilerplate, encode, exact_copies, mixing, mojibake, near_copies, residue, truncation, visual_form
 from sievework.session import materialise, table
 
 
@@ -73,6 +73,22 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "fetched_pages")
+    return boilerplate.split(pages, "ordinal", "content_blocks", boilerplate.fit(pages, "ordinal", "content_blocks"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split(spark, sf_dir).select("ordinal", F.explode("rest").alias("block_index")).withColumn("block_index", F.col("block_index").cast("bigint"))
+
+
+def p6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's text without furniture: its main blocks, joined by line breaks; null for pages without blocks."""
+    pages = table(spark, sf_dir, "fetched_pages").select("ordinal", "content_blocks")
+    main = F.array_join(F.transform("main", lambda i: F.get(F.col("content_blocks"), i)["text"]), "\n")
+    return pages.join(_split(spark, sf_dir), "ordinal", "left").select("ordinal", main.alias("main_text"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = [
         visual_form.same_looks(table(spark, sf_dir, name), "ordinal", text).select(F.lit(name).alias("tbl"), F.col("key_a").alias("ordinal_a"), F.col("key_b").alias("ordinal_b"))
@@ -107,7 +123,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("restored", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p3_validation": p3_validation, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_rates": p5_rates, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p3_validation": p3_validation, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_main_text": p6_main_text, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_restored": p10_restored}
 
 _P2 = r"""
 WITH r AS (
