@@ -26,7 +26,6 @@ null. Ties in size are probed in the order of the keys, each pair once. An empty
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,7 +40,6 @@ from sievework.session import materialise
 
 COUNTER_BITS = 22
 _CHUNK = 1 << 15
-_WORDS = re.compile(r"[^\W_]+")
 
 
 @dataclass(frozen=True)
@@ -96,8 +94,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(texts: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Of all texts: the distinct shingle hashes and the text of each, in the order of texts and hashes."""
-    found = [_WORDS.findall(t.lower()) for t in texts]
+    """Of all texts, words between single blanks: the distinct shingle hashes and the text of each, in the order of texts and hashes."""
+    found = [t.split(" ") for t in texts]
     kept = [i for i, w in enumerate(found) if len(w) >= max(s.least_words, s.shingle)]
     if not kept:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -216,10 +214,10 @@ def links(texts: DataFrame, key: str, text: str, s: Settings = Settings()) -> Fo
     rows = texts.where(F.col(text) != "").select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     plain = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
     count = F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1
-    worded = rows.select("key", plain.alias("plain")).where((F.col("plain") != "") & (count >= max(s.least_words, s.shingle)))
-    marks = materialise(worded.select("key", F.unhex(F.md5(F.col("plain").cast("binary"))).alias("digest")), "near-digests")
-    members = materialise(marks.join(marks.groupBy("digest").agg(F.min("key").alias("class_id")), "digest").select("key", "class_id"), "near-members")
-    single = materialise(rows.join(members.where("key = class_id").select("key"), "key", "left_semi"), "near-classes")
+    worded = rows.withColumn("plain", plain).where((F.col("plain") != "") & (count >= max(s.least_words, s.shingle)))
+    marks = materialise(worded.select("key", F.col("plain").alias("text"), F.unhex(F.md5(F.col("plain").cast("binary"))).alias("digest")), "near-texts")
+    members = materialise(marks.select("key", "digest").join(marks.groupBy("digest").agg(F.min("key").alias("class_id")), "digest").select("key", "class_id"), "near-members")
+    single = materialise(marks.select("key", "text").join(members.where("key = class_id").select("key"), "key", "left_semi"), "near-classes")
     counts = spark.sparkContext.broadcast(counters(single, s))  # 2**COUNTER_BITS bytes
     probes = single.mapInArrow(partial(_probes, s=s, counts=counts), "shingle bigint, key bigint, size int, place int, high bigint, low bigint")
     a, b = probes.alias("a"), probes.alias("b")
