@@ -1,0 +1,78 @@
+"""Readers of evidence records: rows given by hand, JSON lines, payloads of services, and job feeds.
+
+Readers keep bad input visible: what cannot be read becomes a warning row, never a failed job.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievework.functions.text import filled
+from sievework.operators.rows import with_position
+
+EVIDENCE = "evidence_id string, source_id string, connector string, title string, url string, publisher string, text string, source_confidence string, published_at string"
+# Keys under which services put their list of items, and keys of an item's fields, first match first.
+ITEM_KEYS = ("results", "items", "data", "records", "entries", "hits", "posts")
+ALIASES = {"title": ("title", "name", "headline"), "url": ("url", "link", "html_url", "href"), "text": ("text", "snippet", "summary", "content", "description"), "publisher": ("publisher", "author", "source", "user")}
+#: Keys in which a field that is an object keeps its name.
+INNER = ("login", "name", "url", "html_url")
+
+
+def manual(spark: SparkSession, rows: list[dict], most: int | None = None) -> DataFrame:
+    """Rows given by the caller: the title defaults to the URL, then to a numbered one; the text to text_excerpt."""
+    full = [
+        (str(r.get("evidence_id") or ""), str(r.get("source_id") or "manual"), "manual", str(r.get("title") or r.get("url") or f"Manual evidence {i}"), str(r.get("url") or ""), str(r.get("publisher") or ""),
+         str(r.get("text") or r.get("text_excerpt") or ""), str(r.get("source_confidence") or "medium"), r.get("published_at"))
+        for i, r in enumerate(rows, 1)
+    ]
+    return spark.createDataFrame(full[:most] if most is not None else full, EVIDENCE)
+
+
+def json_lines(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Records and warnings of JSON-lines files: blank lines are skipped, lines that hold no object become warnings.
+
+    Records: the evidence columns, raw_ref (file and a hash of the line) and extras, the whole line. A line is read as
+    text first, so one bad line harms no other; files are split by Spark, also within.
+    """
+    lines = spark.read.text(paths).where(F.trim("value") != "").select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
+    parsed = lines.withColumn("o", F.from_json("value", EVIDENCE, {"mode": "PERMISSIVE"})).withColumn("is_object", F.coalesce(F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull(), F.lit(False)))
+    ref = F.concat("file", F.lit("#"), F.substring(F.sha2("value", 256), 1, 12))
+    good = parsed.where("is_object").select("o.*", ref.alias("raw_ref"), F.col("value").alias("extras"))
+    return good, parsed.where("not is_object").select(F.concat(F.lit("unreadable line in "), ref).alias("warning"))
+
+
+def _field(item: Column, names: tuple[str, ...]) -> Column:
+    """The first filled string among a field's aliases, descending into objects by INNER."""
+    options = [F.nullif(F.trim(F.try_variant_get(item, f"$.{n}", "string")), F.lit("")) for n in names]
+    inner = [F.nullif(F.trim(F.try_variant_get(item, f"$.{n}.{i}", "string")), F.lit("")) for n in names for i in INNER]
+    return F.coalesce(*[F.when(~o.startswith("{"), o) for o in options], *inner, F.lit(""))
+
+
+def payload_items(payloads: DataFrame, body: str) -> DataFrame:
+    """One row for each item of JSON payloads (a list, a list under a known key, or the object itself) with its fields; bad payloads give none."""
+    v = payloads.withColumn("__v", F.try_parse_json(body)).where(F.col("__v").isNotNull())
+    listed = F.coalesce(F.try_variant_get("__v", "$", "array<variant>"), *[F.try_variant_get("__v", f"$.{k}", "array<variant>") for k in ITEM_KEYS], F.array(F.col("__v")))
+    each = v.select(*payloads.columns, F.posexplode(listed).alias("item_index", "__i"))
+    return each.select(*payloads.columns, "item_index", *[_field(F.col("__i"), names).alias(f"item_{k}") for k, names in ALIASES.items()])
+
+
+def job_feed(payloads: DataFrame, body: str, provider: str) -> DataFrame:
+    """Postings of a hiring feed (greenhouse, ashby or lever) as posting_id, title, url, place, listed, created_at."""
+    schema = {
+        "greenhouse": "struct<jobs:array<struct<id:string,title:string,absolute_url:string,location:struct<name:string>,updated_at:string>>>",
+        "ashby": "struct<jobs:array<struct<id:string,title:string,jobUrl:string,location:string,isListed:boolean,publishedAt:string>>>",
+        "lever": "array<struct<id:string,text:string,hostedUrl:string,categories:struct<location:string>,createdAt:bigint>>",
+    }[provider]
+    parsed = payloads.select(F.from_json(body, schema).alias("j"))
+    jobs = parsed.select(F.explode("j" if provider == "lever" else "j.jobs").alias("j"))
+    if provider == "greenhouse":
+        return jobs.select(F.col("j.id").alias("posting_id"), "j.title", F.col("j.absolute_url").alias("url"), F.col("j.location.name").alias("place"), F.lit(True).alias("listed"), F.col("j.updated_at").alias("created_at"))
+    if provider == "ashby":
+        return jobs.select(F.col("j.id").alias("posting_id"), "j.title", F.col("j.jobUrl").alias("url"), F.col("j.location").alias("place"), F.coalesce("j.isListed", F.lit(True)).alias("listed"), F.col("j.publishedAt").alias("created_at"))
+    return jobs.select(F.col("j.id").alias("posting_id"), F.col("j.text").alias("title"), F.col("j.hostedUrl").alias("url"), F.col("j.categories.location").alias("place"), F.lit(True).alias("listed"), F.timestamp_millis("j.createdAt").cast("string").alias("created_at"))
+
+
+def numbered(records: DataFrame, order: list[str]) -> DataFrame:
+    """Records with ordinal, their arrival from 0, and the defaults that operators expect."""
+    return with_position(records, order, "ordinal").withColumn("ordinal", F.col("ordinal") - 1).withColumn("title", filled(F.col("title")))
