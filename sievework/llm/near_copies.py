@@ -212,10 +212,11 @@ def links(texts: DataFrame, key: str, text: str, s: Settings = Settings()) -> Fo
     """All links of similarity s.similarity or more between classes of texts with the same shingles."""
     spark = texts.sparkSession
     rows = texts.where(F.col(text) != "").select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    plain = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
-    count = F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1
-    worded = rows.withColumn("plain", plain).where((F.col("plain") != "") & (count >= max(s.least_words, s.shingle)))
+    # written before it is filtered: a filter on the words would be evaluated on the raw texts, once for each mention
+    worded = rows.withColumn("plain", F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")))
     marks = materialise(worded.select("key", F.col("plain").alias("text"), F.unhex(F.md5(F.col("plain").cast("binary"))).alias("digest")), "near-texts")
+    count = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
+    marks = marks.where((F.col("text") != "") & (count >= max(s.least_words, s.shingle)))
     members = materialise(marks.select("key", "digest").join(marks.groupBy("digest").agg(F.min("key").alias("class_id")), "digest").select("key", "class_id"), "near-members")
     single = materialise(marks.select("key", "text").join(members.where("key = class_id").select("key"), "key", "left_semi"), "near-classes")
     counts = spark.sparkContext.broadcast(counters(single, s))  # 2**COUNTER_BITS bytes
