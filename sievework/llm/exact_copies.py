@@ -7,7 +7,7 @@ share one, and no counter or global sort is needed). Records become sorted tuple
 
 Defined results: a record takes part if each of its fields is filled and keeps a letter or digit;
 all others are records of their own. Row ids must be unique and not null. Letter case is compared
-after upper and lower casing, so that ß and SS are equal. An empty table gives an empty result.
+in lower case, with ß as ss, which it becomes in capitals. An empty table gives an empty result.
 Columns of the input other than those named are not read, whatever their names.
 """
 
@@ -24,7 +24,7 @@ _NOISE = r"[^\p{L}\p{N}]+"
 
 def bare(text: Column) -> Column:
     """Letters and digits of a text, without letter case."""
-    return F.regexp_replace(F.lower(F.upper(text)), _NOISE, "")
+    return F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), _NOISE, "")
 
 
 def bare_url(url: Column) -> Column:

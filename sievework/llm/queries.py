@@ -128,10 +128,10 @@ QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_fo
 _P2 = r"""
 WITH r AS (
   SELECT ordinal,
-         regexp_replace(lower(upper(CASE WHEN instr(url, '?') > 0 THEN substr(url, 1, instr(url, '?') - 1) ELSE url END)), '[^\p{L}\p{N}]+', '', 'g')
+         regexp_replace(replace(lower(CASE WHEN instr(url, '?') > 0 THEN substr(url, 1, instr(url, '?') - 1) ELSE url END), 'ß', 'ss'), '[^\p{L}\p{N}]+', '', 'g')
          || CASE WHEN instr(url, '?') > 0 THEN '?' || array_to_string(list_sort(list_transform(regexp_split_to_array(substr(url, instr(url, '?') + 1), '[&;]'),
-              lambda p: regexp_replace(lower(upper(p)), '[^\p{L}\p{N}]+', '', 'g'))), '') ELSE '' END AS u,
-         regexp_replace(lower(upper(title)), '[^\p{L}\p{N}]+', '', 'g') AS t
+              lambda p: regexp_replace(replace(lower(p), 'ß', 'ss'), '[^\p{L}\p{N}]+', '', 'g'))), '') ELSE '' END AS u,
+         regexp_replace(replace(lower(title), 'ß', 'ss'), '[^\p{L}\p{N}]+', '', 'g') AS t
   FROM false_positive_evidence WHERE url IS NOT NULL AND title IS NOT NULL),
 g AS (SELECT ordinal, min(ordinal) OVER (PARTITION BY u, t) AS first_ordinal, count(*) OVER (PARTITION BY u, t) AS copies
       FROM r WHERE u NOT IN ('', '?') AND t <> '')
