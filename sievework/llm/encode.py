@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import heapq
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -37,6 +38,15 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: how byte-level BPE of this vocabulary cuts a text into words.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD = regex.compile(PATTERN)
+# the same cut for texts of ASCII alone, by the faster library
+_ASCII_WORD = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+
+
+def split(text: str) -> list[str]:
+    return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
+
+
+_NONE = 1 << 60
 
 
 def read_ranks(folder: str = TOKENIZERS, name: str = VOCABULARY) -> dict[bytes, int]:
@@ -49,6 +59,15 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     if word in ranks:
         return [ranks[word]]
     n = len(word)
+    if n <= 32:  # a short word has few pairs; looking at all of them each time is quicker than a heap
+        parts = [word[i : i + 1] for i in range(n)]
+        while len(parts) > 1:
+            pairs = [a + b for a, b in zip(parts, parts[1:])]
+            r, i = min((ranks.get(p, _NONE), i) for i, p in enumerate(pairs))
+            if r == _NONE:
+                break
+            parts[i : i + 2] = [pairs[i]]
+        return [ranks[p] for p in parts]
     end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     alive = [True] * n
 
@@ -152,16 +171,21 @@ class Lexicon:
 
     def find(self, word: bytes) -> list[int] | None:
         """Ids of a word, or None if it is not in the lexicon."""
-        first, label, target, skip = self.first, self.label, self.target, self.skip
-        state, number = int(first[0]), 0
+        first, label, target, skip, final = self._views()
+        state, number = first[0], 0
         for c in word:
-            a, b = int(first[state + 1]), int(first[state + 2])
-            k = a + int(np.searchsorted(label[a:b], c))
-            if k == b or label[k] != c:
+            k = label.find(c, first[state + 1], first[state + 2])
+            if k < 0:
                 return None
-            number += int(skip[k])
-            state = int(target[k])
-        return self.ids[self.offset[number] : self.offset[number + 1]].tolist() if self.final[state] else None
+            number += skip[k]
+            state = target[k]
+        return self.ids[self.offset[number] : self.offset[number + 1]].tolist() if final[state] else None
+
+    def _views(self):
+        """The arrays in a form that single elements are read from quickly; the numbers stay in the mapped file, the labels are a few bytes an edge."""
+        if not hasattr(self, "_seen"):
+            self._seen = memoryview(self.first), self.label.tobytes(), memoryview(self.target), memoryview(self.skip), memoryview(self.final)
+        return self._seen
 
 
 def count_words(docs: DataFrame, text: str) -> DataFrame:
@@ -171,7 +195,7 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
         seen: Counter = Counter()
         for b in batches:
             for t in b["text"]:
-                seen.update(_WORD.findall(t))
+                seen.update(split(t))
             if len(seen) > 200_000:  # a bounded table; what is known so far is handed on
                 yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
                 seen = Counter()
@@ -197,41 +221,49 @@ def _loaded(lexicon: str, vocabulary: str) -> tuple[Lexicon, dict[bytes, int]]:
 
 
 class _Ids(dict):
-    """Ids of words: from the lexicon, else merged; forgets all when it has grown large."""
+    """Numbers of words whose ids are known, from the lexicon or else merged; forgets all when it has grown large."""
+
+    MOST = 200_000
 
     def __init__(self, lexicon: Lexicon, ranks: dict[bytes, int]):
         super().__init__()
-        self.lexicon, self.ranks = lexicon, ranks
+        self.lexicon, self.ranks, self.flat, self.ends = lexicon, ranks, [], [0]
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> int:
         data = word.encode()
         ids = self.lexicon.find(data)
-        if ids is None:
-            ids = merge(data, self.ranks)
-        if len(word) <= 64:
-            if len(self) > 200_000:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.flat += merge(data, self.ranks) if ids is None else ids
+        self.ends.append(len(self.flat))
+        n = self[word] = len(self.ends) - 2
+        return n
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in order, and how many each word has."""
+        if len(self) > self.MOST:
+            self.clear()
+            self.flat, self.ends = [], [0]
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        ends = np.array(self.ends, np.int64)
+        start, size = ends[at], ends[at + 1] - ends[at]
+        where = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.array(self.flat, np.int32)[where], size
+
+
+@lru_cache(2)
+def _known(lexicon: str, vocabulary: str) -> _Ids:
+    return _Ids(*_loaded(lexicon, vocabulary))
 
 
 def _encode(batches: Iterator[pa.RecordBatch], lexicon: str, vocabulary: str, counts: bool) -> Iterator[pa.RecordBatch]:
-    known = _Ids(*_loaded(lexicon, vocabulary))
-    for b in batches:
-        flat, ends, total = [], [0], 0
-        for t in b["text"].to_pylist():
-            if t:
-                ids = [i for w in _WORD.findall(t) for i in known[w]]
-                total += len(ids)
-                if not counts:
-                    flat.append(np.array(ids, np.int32))
-            ends.append(total)
-        if counts:
-            out = pa.array(np.diff(np.array(ends, np.int64)))
-        else:
-            out = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32)))
-        keep = [n for n in b.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays([*[b[k] for k in keep], out], [*keep, "n_tokens" if counts else "ids"])
+    known = _known(lexicon, vocabulary)
+    for whole in batches:
+        for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+            words = [split(t) if t else [] for t in b["text"].to_pylist()]
+            ids, size = known.ids(list(chain.from_iterable(words)))
+            ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, words)])]
+            out = pa.array(np.diff(ends)) if counts else pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            keep = [n for n in b.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*[b[k] for k in keep], out], [*keep, "n_tokens" if counts else "ids"])
 
 
 def encode(docs: DataFrame, keep: list[str], text: str, counts: bool = False, lexicon_words: int = 50_000, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
