@@ -34,7 +34,7 @@ HELD_OUT = 5
 # The phrases of the weak labels.
 PHRASES = re.compile(
     r"\{\{[^{}]*\}\}|\{%[^%]*%\}|<%=?[^%]*%>|\[\[\s*\w+\s*\]\]|@@\w+@@|__[A-Za-z]\w*__|%[A-Za-z_]{3,}%|[#$]\{\w+\}|\{[A-Za-z_.]+\}|<[a-z]+(?:_[a-z]+)*>|\[(?:your|insert|enter|add)\b[^\]]*\]"
-    r"|lorem ipsum|\bipsum\b|\blorem\b|undefined undefined|\[object object\]|\bnan (?:days|hours|minutes)|content goes here|replace this (?:paragraph|text)|\btest test\b|^todo\b|placeholder text|your (?:text|title) here|draft \w+ about"
+    r"|lorem ipsum|\bipsum\b|\blorem\b|undefined undefined|\[object object\]|\bnan (?:days|hours|minutes)|content goes here|replace this (?:paragraph|text)|\btest test\b|\bdummy (?:copy|text)|\bblind text\b|\b(?:x{3,}\s+){2}|\bsample text\b|do not publish|undefined variable|under construction|coming soon|down for maintenance|^todo\b|placeholder text|your (?:text|title) here|draft \w+ about"
     r"|enable javascript|javascript (?:is )?(?:required|disabled)|javascript to|javascript, um|activer javascript|habilit\w+ javascript|activ[ea]\w* javascript|noscript:|without scripts|scripts? (?:must|enabled|required)|needs scripts|support scripts|cookies and scripts|switched off\."
     r"|checking your browser|verify you are human|checks your connection|are you a robot|unusual traffic|captcha"
     r"|page not found|not be found|could not find what|nothing here|^error \d{3}|^\d{3} -|http \d{3} (?:internal|not|bad|error|forbidden|service|gateway)|access denied|do not have permission|has been blocked for|too many requests|temporarily unavailable|internal server error|bad gateway|connection failed|traceback|something (?:broke|went wrong)|session expired|no longer available|position has been filled|has expired|sign in to \S+ again"
