@@ -35,10 +35,12 @@ def bare_url(url: Column) -> Column:
 
 def dictionary(rows: DataFrame, key: str, column: str, canon: Callable[[Column], Column]) -> DataFrame:
     """Each distinct value of a column with the integer of its canonical form: columns value, value_id."""
-    seen = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__value")).agg(F.min(key).alias("__first"))
-    each = seen.withColumn("__canon", canon(F.col("__value"))).where("__canon not in ('', '?')")
-    ids = each.groupBy("__canon").agg(F.min("__first").alias("value_id"), F.collect_list("__value").alias("__values"))
-    return ids.select(F.explode("__values").alias("value"), "value_id")
+    seen = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(key).alias("__first"))
+    plain = seen.withColumn("__canon", canon(F.col("value")))
+    each = plain.select("value", "__first", F.when(~F.col("__canon").isin("", "?"), F.unhex(F.md5(F.col("__canon").cast("binary")))).alias("__canon"))
+    # spellings meet their value's integer in a join, so that no list of spellings is ever held in one place
+    ids = each.groupBy("__canon").agg(F.min("__first").alias("value_id"))
+    return each.join(ids, "__canon").select("value", "value_id")
 
 
 def encode(rows: DataFrame, key: str, columns: dict[str, Callable[[Column], Column]]) -> DataFrame:
