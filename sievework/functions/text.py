@@ -122,3 +122,27 @@ def holds_term(text: Column, term: str) -> Column:
     if len(t) <= 4 and t.isascii():
         return text.rlike(rf"(?<![a-z0-9])\Q{t}\E(?![a-z0-9])")
     return F.contains(text, F.lit(t))
+
+
+def facet_slug(c: Column) -> Column:
+    """Lower case, runs of other than letters and digits as '_'; 'facet' for nothing."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", "_"), "^_+|_+$", ""), F.lit("")), F.lit("facet"))
+
+
+def compact(c: Column, most: int = 120) -> Column:
+    return F.substring(squeeze(c), 1, most)
+
+
+def compared(c: Column) -> Column:
+    """The sides of a comparison ('a versus b', 'a vs. b', 'a compared to b'), without closing nouns; none if there is no comparison."""
+    parts = F.split(F.coalesce(c, F.lit("")), r"(?i)\s+(?:versus|vs\.?|compared\s+to)\s+")
+    bare = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(p, r"(?i)\s+(?:inference\s+engines?|frameworks?|projects?|repositories|comparison)\s*$", ""), r"^[ ,:;\-]+|[ ,:;\-]+$", ""))
+    return F.when(F.size(parts) >= 2, F.array_distinct(F.filter(bare, lambda p: p != ""))).otherwise(F.array().cast("array<string>"))
+
+
+def without_tags(c: Column) -> Column:
+    """A text without mark-up: tags become spaces, the common entities their characters."""
+    out = F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]*>", " ")
+    for entity, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(entity), F.lit(ch))
+    return squeeze(out)

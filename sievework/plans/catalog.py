@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import dates, text
-from sievework.operators import claims, content, copies, execution, instants, relevance, rows
+from sievework.operators import claims, content, copies, execution, instants, relevance, rows, validity
 from sievework.plans.specs import CONFLICTS, ENTITIES, LABELS, SPECS
 from sievework.session import materialise, table
 
@@ -370,3 +370,79 @@ def repository_rank(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def progress_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return execution.fingerprint(_evidence(spark, d), [text.canonical_page(F.col("url")), text.content_hash(F.col("text"))])
+
+
+def _strip(c: str) -> str:
+    out = f"regexp_replace(coalesce({c}, ''), '<[^>]*>', ' ', 'g')"
+    for entity, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{ch}')"
+    return f"trim(regexp_replace({out}, '{_SP}', ' ', 'g'))"
+
+
+@query(f"SELECT ordinal, {_strip('body')} AS plain FROM adversarial_rows")
+def tagless_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "adversarial_rows").select("ordinal", text.without_tags(F.col("body")).alias("plain"))
+
+
+@query(f"SELECT ordinal, coalesce(nullif(regexp_replace(regexp_replace(lower(coalesce(topic, '')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'facet') AS facet, left({_squeeze('topic')}, 120) AS short FROM b4_results")
+def topic_slugs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "b4_results").select("ordinal", text.facet_slug(F.col("topic")).alias("facet"), text.compact(F.col("topic")).alias("short"))
+
+
+def _sql_reasons() -> str:
+    t, kind = _normal("body"), "trim(split_part(lower(coalesce(content_type, '')), ';', 1))"
+    count = lambda marks: "(" + " + ".join(f"contains(t, '{m}')::INT" for m in marks) + ")"
+    known = " OR ".join(f"starts_with(kind, '{p}')" for p in validity.TEXT_TYPES)
+    p, f = count(validity.LOGIN_PHRASES), count(validity.LOGIN_FIELDS)
+    paths = ", ".join(f"'{x}'" for x in validity.LOGIN_PATHS)
+    each = [
+        "CASE WHEN status >= 400 THEN 'http_status_' || status END", f"CASE WHEN kind <> '' AND NOT ({known}) THEN 'unsupported_content_type_' || kind END",
+        *[f"CASE WHEN contains(t, '{m.replace(chr(39), chr(39) * 2)}') THEN '{r}' END" for r, m in validity.BLOCK_MARKS],
+        f"CASE WHEN (list_has_any(string_split(lower({_part('url', 3)}), '/'), [{paths}]) AND {p} > 0) OR {p} >= 2 OR ({p} > 0 AND {f} >= 3) THEN 'login_wall' END",
+        "CASE WHEN length(t) < 1000 AND (contains(t, 'complete the captcha') OR contains(t, 'captcha challenge')) THEN 'captcha' END", f"CASE WHEN length(t) < {validity.LEAST_CHARS} THEN 'insufficient_text' END",
+    ]
+    # no reason has two marks that both hold in one text here, so the concatenation has no repeats
+    return f"SELECT ordinal, concat_ws('|', {', '.join(each)}) AS reasons FROM (SELECT *, {t} AS t, {kind} AS kind FROM adversarial_rows)"
+
+
+@query(_sql_reasons())
+def invalid_reasons(spark: SparkSession, d: str) -> DataFrame:
+    r = validity.invalid_reasons(F.col("status"), F.col("content_type"), F.col("body"), F.col("url"))
+    return table(spark, d, "adversarial_rows").select("ordinal", F.array_join(r, "|").alias("reasons"))
+
+
+@query("""SELECT host, count(*) AS n_rows, CASE min(CASE network_status WHEN 'rate_limit' THEN 1 WHEN 'robots_denied' THEN 2 WHEN 'retry_exhausted' THEN 3 ELSE 4 END)
+ WHEN 1 THEN 'rate_limit' WHEN 2 THEN 'robots_denied' WHEN 3 THEN 'retry_exhausted' ELSE 'ready' END AS outcome FROM fetched_pages GROUP BY 1""")
+def host_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return validity.host_outcomes(table(spark, d, "fetched_pages"), "host", "network_status")
+
+
+@query()
+def page_dates(spark: SparkSession, d: str) -> DataFrame:
+    rows_ = table(spark, d, "adversarial_rows").withColumn("native", F.lit(None).cast("string"))
+    return validity.page_dates(rows_, "ordinal", "body", "native", "url")
+
+
+@query("SELECT evidence_id, max(ordinal) AS ordinal, arg_max(source_id, ordinal) AS source_id FROM false_positive_evidence GROUP BY 1")
+def last_delivery(spark: SparkSession, d: str) -> DataFrame:
+    r = _evidence(spark, d).groupBy("evidence_id").agg(F.max_by(F.struct("ordinal", "source_id"), "ordinal").alias("r"))
+    return r.select("evidence_id", "r.ordinal", "r.source_id")
+
+
+@query("SELECT source_id, count(DISTINCT connector) AS n_connectors, count(*) AS n_rows FROM false_positive_evidence GROUP BY 1 HAVING count(DISTINCT connector) > 1")
+def spread_sources(spark: SparkSession, d: str) -> DataFrame:
+    return _evidence(spark, d).groupBy("source_id").agg(F.count_distinct("connector").alias("n_connectors"), F.count(F.lit(1)).alias("n_rows")).where("n_connectors > 1")
+
+
+@query("SELECT ordinal, len(list_filter(string_split_regex(text, '\\r\\n|[\\n\\r]'), lambda l: trim(l) <> '')) AS n_lines FROM fetched_pages WHERE text <> ''".replace("\\\\", "\\"))
+def text_lines(spark: SparkSession, d: str) -> DataFrame:
+    kept = F.filter(F.split("text", r"\r\n|[\n\r]"), lambda x: F.trim(x) != "")
+    return table(spark, d, "fetched_pages").where("text <> ''").select("ordinal", F.size(kept).cast("bigint").alias("n_lines"))
+
+
+@query(f"SELECT topic, ordinal, page_url, row_number() OVER (PARTITION BY topic ORDER BY result_rank, ordinal) AS position FROM (SELECT topic, ordinal, result_rank, {_page('url')} AS page_url FROM b4_results WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY topic, {_page('url')} ORDER BY result_rank, ordinal) = 1) QUALIFY position <= 10")
+def next_candidates(spark: SparkSession, d: str) -> DataFrame:
+    page = text.canonical_page(F.col("url")).alias("page_url")
+    first = table(spark, d, "b4_results").where("url is not null").select("topic", "ordinal", "result_rank", page).groupBy("topic", "page_url").agg(F.min(F.struct("result_rank", "ordinal")).alias("r"))
+    n = F.row_number().over(Window.partitionBy("topic").orderBy("result_rank", "ordinal"))
+    return first.select("topic", "r.ordinal", "r.result_rank", "page_url").withColumn("position", n).where("position <= 10").drop("result_rank")
