@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.text import copy_key, filled
 from sievework.operators.rows import with_position
-from sievework.session import materialise
+from sievework.session import discard, materialise
 
 
 def keyed(rows: DataFrame) -> DataFrame:
@@ -48,5 +48,7 @@ def independent(rows: DataFrame, key: str, origin: str, content: str) -> DataFra
         by_content = open_rows.groupBy(content).agg(F.min(key).alias("b"))
         won = materialise(open_rows.join(by_origin, origin).join(by_content, content).where(f"`{key}` = a and `{key}` = b").select(key, origin, content), "taken-rows")
         taken = won if taken is None else taken.unionByName(won)
+        before = open_rows
         open_rows = materialise(open_rows.join(won.select(origin), origin, "left_anti").join(won.select(content), content, "left_anti").select(key, origin, content), "open-rows")
+        discard(before)
     return rows.select(key, origin, content).limit(0) if taken is None else taken

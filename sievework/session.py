@@ -40,7 +40,22 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(written)] = (written, path)
+    return written
+
+
+#: Tables written by materialise that can still be discarded.
+_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(written: DataFrame) -> None:
+    """Delete what materialise wrote, once all that reads it has been written itself."""
+    known = _WRITTEN.pop(id(written), None)
+    if known:
+        jvm = written.sparkSession.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(known[1])
+        p.getFileSystem(written.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
