@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.session import materialise
+from sievework.session import discard, materialise
 
 COUNTER_BITS = 22
 _CHUNK = 1 << 15
@@ -214,11 +214,12 @@ def links(texts: DataFrame, key: str, text: str, s: Settings = Settings()) -> Fo
     rows = texts.where(F.col(text) != "").select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     # written before it is filtered: a filter on the words would be evaluated on the raw texts, once for each mention
     worded = rows.withColumn("plain", F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")))
-    marks = materialise(worded.select("key", F.col("plain").alias("text"), F.unhex(F.md5(F.col("plain").cast("binary"))).alias("digest")), "near-texts")
+    texts_written = materialise(worded.select("key", F.col("plain").alias("text"), F.unhex(F.md5(F.col("plain").cast("binary"))).alias("digest")), "near-texts")
     count = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
-    marks = marks.where((F.col("text") != "") & (count >= max(s.least_words, s.shingle)))
+    marks = texts_written.where((F.col("text") != "") & (count >= max(s.least_words, s.shingle)))
     members = materialise(marks.select("key", "digest").join(marks.groupBy("digest").agg(F.min("key").alias("class_id")), "digest").select("key", "class_id"), "near-members")
     single = materialise(marks.select("key", "text").join(members.where("key = class_id").select("key"), "key", "left_semi"), "near-classes")
+    discard(texts_written)
     counts = spark.sparkContext.broadcast(counters(single, s))  # 2**COUNTER_BITS bytes
     probes = single.mapInArrow(partial(_probes, s=s, counts=counts), "shingle bigint, key bigint, size int, place int, high bigint, low bigint")
     a, b = probes.alias("a"), probes.alias("b")
@@ -266,8 +267,10 @@ def groups(found: Found) -> DataFrame:
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("m").alias("class_a"), F.explode(F.array("u", "v")).alias("class_b")).where("class_a < class_b").distinct()
         new = materialise(small, "near-edges")
+        discard(large)
         if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
             break
+        discard(edges)
         edges = new
     roots = edges.groupBy(F.col("class_b").alias("class_id")).agg(F.min("class_a").alias("root"))
     m = found.members.join(roots, "class_id", "left").select("key", F.coalesce("root", "class_id").alias("group_id"))
