@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.session import put_file
+from sievework.session import discard, materialise, put_file
 
 #: Folder of the public vocabularies; a parameter of all that reads them.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -209,7 +209,12 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
 def compile_lexicon(docs: DataFrame, text: str, lexicon_words: int = 50_000, folder: str = TOKENIZERS, name: str = VOCABULARY) -> tuple[str, str]:
     """Build the lexicon of the most frequent words; the names of its file and of the vocabulary's, as handed to executors."""
     spark = docs.sparkSession
-    frequent = count_words(docs, text).where("n > 1 and length(word) <= 64").orderBy(F.desc("n"), "word").limit(lexicon_words).collect()
+    words = materialise(count_words(docs, text).where("n > 1 and length(word) <= 64"), "word-counts")
+    # by powers of two of the count: from which one on there are enough words, so that each task sends few others
+    sizes = {r["b"]: r["m"] for r in words.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count(F.lit(1)).alias("m")).collect()}
+    least = next((b for b in sorted(sizes, reverse=True) if sum(m for c, m in sizes.items() if c >= b) >= lexicon_words), 0)
+    frequent = words.where(F.col("n") >= 2**least).orderBy(F.desc("n"), "word").limit(lexicon_words).collect()
+    discard(words)
     ranks = read_ranks(folder, name)
     lexicon = Lexicon.build({(w := r["word"].encode()): merge(w, ranks) for r in frequent})
     return put_file(spark, "lexicon", lexicon.data()), put_file(spark, "ranks", open(os.path.join(folder, name), "rb").read())

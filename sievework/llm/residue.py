@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.llm.sampling import smallest_hashes
+
 WINDOW, STRIDE = 12, 6
 BITS = 18
 #: Share of hosts that are kept for validation: those whose hash is 0 modulo this.
@@ -216,18 +218,13 @@ def _holds(text: str, first: int) -> int:
     return int(any(m.start() < b and m.end() > a for m in PHRASES.finditer(text)))
 
 
-def sample(rows: DataFrame, key: str, max_rows: int) -> pd.DataFrame:
-    """At most max_rows rows, those with the smallest hashes of their keys."""
-    return rows.orderBy(F.xxhash64(key), key).limit(max_rows).toPandas()
-
-
 def bucket(host: Column) -> Column:
     return F.pmod(F.xxhash64(host), F.lit(HELD_OUT))
 
 
 def fit(parts: list[DataFrame], max_rows: int = 6000) -> Model:
     """parts: rows with key, host, text, titled, status. Hosts of bucket 0 are left out."""
-    got = pd.concat([sample(p.where((bucket(F.coalesce("host", F.lit(""))) != 0) & (F.col("text") != "")), "key", max_rows) for p in parts])
+    got = pd.concat([smallest_hashes(p.where((bucket(F.coalesce("host", F.lit(""))) != 0) & (F.col("text") != "")), "key", max_rows).toPandas() for p in parts])
     return train(got["text"].tolist(), got["titled"].tolist(), got["status"].tolist())
 
 
