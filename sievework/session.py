@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,13 +77,35 @@ def children(spark: SparkSession, path: str) -> list[str]:
 
 def put_file(spark: SparkSession, label: str, data: bytes) -> str:
     """Write a file to the shared folder and have Spark hand it to all executors, also to those that start later; its name."""
-    jvm = spark.sparkContext._jvm
     path = f"{shared_dir(spark)}/sievework/{label}-{uuid.uuid4().hex}.bin"
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    _write(spark, path, data)
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[1]
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on all executors, once for each application, wherever it was imported from."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    path = f"{shared_dir(spark)}/sievework/package-{uuid.uuid4().hex}.zip"
+    _write(spark, path, data.getvalue())
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
+def _write(spark: SparkSession, path: str, data: bytes) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
     try:
         out.write(bytearray(data))
     finally:
         out.close()
-    spark.sparkContext.addFile(path)
-    return path.rsplit("/", 1)[1]
