@@ -18,6 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.session import materialise
+
 #: All that is neither letter nor digit.
 _NOISE = r"[^\p{L}\p{N}]+"
 
@@ -36,8 +38,10 @@ def bare_url(url: Column) -> Column:
 def dictionary(rows: DataFrame, key: str, column: str, canon: Callable[[Column], Column]) -> DataFrame:
     """Each distinct value of a column with the integer of its canonical form: columns value, value_id."""
     seen = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(key).alias("__first"))
-    plain = seen.withColumn("__canon", canon(F.col("value")))
-    each = plain.select("value", "__first", F.when(~F.col("__canon").isin("", "?"), F.unhex(F.md5(F.col("__canon").cast("binary")))).alias("__canon"))
+    # written, so that each distinct value is canonicalised once and not again for each use of the dictionary
+    each = materialise(seen.select("value", "__first", F.unhex(F.md5(canon(F.col("value")).cast("binary"))).alias("__canon")), "dictionary")
+    nothing = [F.unhex(F.md5(F.lit(x).cast("binary"))) for x in ("", "?")]
+    each = each.where(~F.col("__canon").isin(*nothing))
     # spellings meet their value's integer in a join, so that no list of spellings is ever held in one place
     ids = each.groupBy("__canon").agg(F.min("__first").alias("value_id"))
     return each.join(ids, "__canon").select("value", "value_id")
