@@ -23,8 +23,10 @@ def with_position(rows: DataFrame, order: list[str], into: str) -> DataFrame:
     for r in sorted(sizes, key=lambda r: r["__part"]):
         starts[r["__part"]] = total
         total += r["n"]
-    start = F.try_element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("__part")) if starts else F.lit(0)
-    return kept.withColumn(into, (F.row_number().over(W.partitionBy("__part").orderBy(*order)) + start).cast("bigint")).drop("__part")
+    # as many rows as there are partitions
+    start = rows.sparkSession.createDataFrame(list(starts.items()), "__part int, __start bigint")
+    n = F.row_number().over(W.partitionBy("__part").orderBy(*order)) + F.col("__start")
+    return kept.join(F.broadcast(start), "__part").withColumn(into, n.cast("bigint")).drop("__part", "__start")
 
 
 def normalise(rows: DataFrame) -> DataFrame:
