@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -74,5 +74,6 @@ def shares(chosen: DataFrame, source: str, found: list[Rate]) -> DataFrame:
     spark = chosen.sparkSession
     used = chosen.groupBy(F.col(source).alias("source")).agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("used_tokens"))
     table = spark.createDataFrame([(r.source, r.target_share, r.max_repeats, r.rate) for r in found], "source string, target_share double, max_repeats int, rate double")
-    whole = used.agg(F.sum("used_tokens").alias("whole"))
-    return table.join(used, "source", "left").join(F.broadcast(whole)).select("source", "target_share", "max_repeats", "rate", F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), (F.coalesce("used_tokens", F.lit(0)) / F.col("whole")).alias("actual_share"))
+    whole = F.sum("used_tokens").over(Window.partitionBy())  # over a row for each target
+    joined = table.join(used, "source", "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))
+    return joined.select("source", "target_share", "max_repeats", "rate", "used_tokens", F.try_divide("used_tokens", whole).alias("actual_share"))
