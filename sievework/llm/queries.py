@@ -102,7 +102,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf_dir: str):
-    counted = encode.encode(table(spark, sf_dir, "documents").join(F.broadcast(table(spark, sf_dir, "mix_targets").select("source")), "source", "left_semi"), ["doc_id", "source"], "text", counts=True)
+    counted = encode.encode(table(spark, sf_dir, "documents").join(table(spark, sf_dir, "mix_targets").select("source"), "source", "left_semi"), ["doc_id", "source"], "text", counts=True)
     return mixing.mix(materialise(counted, "token-counts"), "doc_id", "source", table(spark, sf_dir, "mix_targets"))
 
 
