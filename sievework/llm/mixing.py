@@ -69,6 +69,11 @@ def mix(counted: DataFrame, key: str, source: str, targets: DataFrame, total: fl
     return chosen.select(key, source, "n_tokens", "repeats"), found
 
 
+def emit(chosen: DataFrame) -> DataFrame:
+    """One row for each use of a chosen document, with copy, counted from 1."""
+    return chosen.select("*", F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("copy"))
+
+
 def shares(chosen: DataFrame, source: str, found: list[Rate]) -> DataFrame:
     """source, target_share, max_repeats, rate, used_tokens, actual_share: one row for each target."""
     spark = chosen.sparkSession

@@ -17,6 +17,7 @@ Defined results: null and empty texts are no case and stay as they are. Keys mus
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -42,26 +43,26 @@ _NOISE = re.compile(r"[^\x00-\x7f]+|\s+")
 
 
 @lru_cache
-def _table(codec: str) -> tuple[dict[int, int], dict[int, str]]:
-    """Of a one-byte codec: code point to byte and byte to character; bytes without a character are C1 controls."""
-    back = {}
+def _table(codec: str) -> tuple[dict[int, int], str]:
+    """Of a one-byte codec: code point to byte, and the characters of all bytes; bytes without a character are C1 controls."""
+    back = ""
     for i in range(256):
         try:
-            back[i] = bytes([i]).decode(codec)
+            back += bytes([i]).decode(codec)
         except UnicodeDecodeError:
-            back[i] = chr(i)
-    return {ord(c): i for i, c in reversed(back.items())}, back
+            back += chr(i)
+    return {ord(c): i for i, c in reversed([*enumerate(back)])}, back
 
 
 def _read(data: bytes, codec: str) -> str:
-    back = _table(codec)[1]
-    return "".join([back[i] for i in data])
+    return codecs.charmap_decode(data, "strict", _table(codec)[1])[0]
 
 
 def _unread(text: str, codec: str) -> bytes | None:
-    to = _table(codec)[0]
-    out = [to.get(ord(c), -1) for c in text]
-    return None if -1 in out else bytes(out)
+    try:
+        return codecs.charmap_encode(text, "strict", _table(codec)[0])[0]
+    except UnicodeEncodeError:
+        return None
 
 
 def garble(text: str, chain: tuple[str, str, int]) -> str | None:
@@ -160,7 +161,11 @@ class Judge:
     """Decides of a word whether it is garbled, and what it was."""
 
     def __init__(self, chains: list[tuple[str, str, int]], counts: np.ndarray, margin: float = 2.5, weak: float = -1.0):
-        self.chains, self.counts, self.margin, self.weak, self.known = chains, counts, margin, weak, {}
+        self.counts, self.margin, self.weak, self.known = counts, margin, weak, {}
+        self.most = max(9.0, float(counts.max()))
+        self.by_read: dict[str, list[tuple[str, str, int]]] = {}
+        for c in chains:
+            self.by_read.setdefault(c[1], []).append(c)
 
     def word(self, w: str) -> tuple[bool, str | None]:
         if w not in self.known:
@@ -174,15 +179,28 @@ class Judge:
             return False, None
         if "�" in w:
             return True, None
-        have, best, to = _likely(w, self.counts), -99.0, None
-        for c in self.chains:
-            u = restore(w, c)
-            if u is not None and u != w and not _CONTROL.search(u) and "�" not in u:
+        have = best = _likely(w, self.counts)
+        to = None
+        for b, chains in self.by_read.items():
+            data = _unread(w, b)  # once for all codecs the bytes may have been written in
+            if data is None:
+                continue
+            for c in chains:
                 # text that happens to be valid UTF-8 when undone is strong evidence by itself
-                score = _likely(u, self.counts) - (self.weak if c[0] == "utf-8" else self.margin)
-                if score > best:
-                    best, to = score, u
-        if to is not None and best > have:
+                handicap = self.weak if c[0] == "utf-8" else self.margin
+                if self.most - handicap <= best:
+                    continue  # no word is likely enough
+                try:
+                    u = data.decode(c[0])
+                except UnicodeDecodeError:
+                    continue
+                if c[2] == 2:
+                    u = restore(u, (*c[:2], 1))
+                if u is not None and u != w and not _CONTROL.search(u) and "�" not in u:
+                    score = _likely(u, self.counts) - handicap
+                    if score > best:
+                        best, to = score, u
+        if to is not None:
             return True, to
         return bool(_CONTROL.search(w)), None
 

@@ -33,6 +33,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(parts[0].unionByName(parts[1]), model, ["tbl", "key"]).withColumnRenamed("key", "ordinal")
 
 
+def p3_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that stay: all with a text that is no residue."""
+    parts = _residue_parts(spark, sf_dir)
+    scored = residue.score(parts[0].unionByName(parts[1]), residue.fit(parts), ["tbl", "key"])
+    return scored.where("score <= 0.5").select("tbl", F.col("key").alias("ordinal"))
+
+
 def p3_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the labelled probes on hosts that were not trained on: how many the classifier gets right."""
     parts = _residue_parts(spark, sf_dir)
@@ -97,6 +104,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs[0].unionByName(pairs[1])
 
 
+def p7_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = [
+        visual_form.common_form(table(spark, sf_dir, name), ["ordinal"], text).select(F.lit(name).alias("tbl"), "ordinal", "form")
+        for name, text in (("false_positive_evidence", "text"), ("adversarial_rows", "body"))
+    ]
+    return forms[0].unionByName(forms[1])
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"), ["doc_id"], "text")
 
@@ -123,7 +138,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("restored", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p3_validation": p3_validation, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_main_text": p6_main_text, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p3_usable": p3_usable, "p3_validation": p3_validation, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_main_text": p6_main_text, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_restored": p10_restored}
 
 _P2 = r"""
 WITH r AS (

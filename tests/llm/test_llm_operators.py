@@ -266,6 +266,7 @@ def test_mix(spark):
     assert abs(s["a"]["actual_share"] - 0.6) < 0.03 and s["missing"]["used_tokens"] == 0 and "other" not in s
     assert chosen.where("source = 'b'").agg(F.max("repeats")).first()[0] <= 3 and chosen.where("source = 'a'").agg(F.max("repeats")).first()[0] <= 1
     assert rows_of(chosen, "doc_id", "repeats") == rows_of(mixing.mix(docs.repartition(7), "doc_id", "source", t)[0], "doc_id", "repeats")
+    assert mixing.emit(chosen).count() == chosen.agg(F.sum("repeats")).first()[0]
     none, found = mixing.mix(docs.limit(0), "doc_id", "source", t)
     assert none.count() == 0 and mixing.shares(none, "source", found).where("actual_share is null").count() == 4
 
@@ -299,3 +300,38 @@ def test_mojibake(spark):
     assert set(got) == set(bad) | {405}
     assert sum(got[i] == t for i, t in bad.items()) >= 0.95 * len(bad)
     assert mojibake.garbled(df.limit(0), "doc_id", "text").count() == 0
+
+
+# --- queries ------------------------------------------------------------------------------------------------------
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+COLUMNS = {
+    "p2_found": "first_ordinal copy_ordinal", "p3_found": "tbl ordinal", "p4_found": "ordinal_a ordinal_b", "p5_found": "tbl ordinal", "p6_found": "ordinal block_index",
+    "p7_found": "tbl ordinal_a ordinal_b", "p8_ids": "doc_id ids", "p9_shares": "source target_share max_repeats rate used_tokens actual_share", "p10_found": "doc_id",
+}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_queries_have_their_columns_and_no_row_twice(spark, name):
+    from sievework.llm import queries
+
+    df = queries.QUERIES[name](spark, DATA)
+    assert df.columns == COLUMNS[name].split()
+    got = df.collect()
+    if name.endswith("_found"):
+        assert got and len(got) == len({tuple(r) for r in got})
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", ["p2_found", "p2_collapsed"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from sievework.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW false_positive_evidence AS SELECT * FROM read_parquet('{DATA}/false_positive_evidence.parquet')")
+    r = con.execute(queries.ORACLE[name])
+    cols = [c[0] for c in r.description]
+    assert sorted(r.fetchall()) == sorted(tuple(x[c] for c in cols) for x in queries.QUERIES[name](spark, DATA).collect())
