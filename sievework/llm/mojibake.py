@@ -168,6 +168,8 @@ class Judge:
             self.by_read.setdefault(c[1], []).append(c)
 
     def word(self, w: str) -> tuple[bool, str | None]:
+        if len(w) > 64:  # long words hardly come again
+            return self._word(w)
         if w not in self.known:
             if len(self.known) > 300_000:
                 self.known.clear()
