@@ -2,10 +2,12 @@
 
 1. Twins: lines that hold other than ASCII characters are grouped by what is left of them without these. In each
    group every variant is held against the group's most frequent one: their non-ASCII runs, which stand between the
-   same ASCII characters, are aligned in order.
+   same ASCII characters, are aligned in order. Lines of which little is left have many neighbours that are no twins;
+   they also meet the line that has the same bytes under another table. Characters whose bytes hold ASCII ones
+   (Shift_JIS, GB18030, Big5) meet by what each run between digits, signs and spaces would be read as.
 2. Inference: a transformation is a pair of codecs, the one the bytes were written in and the one they were read
-   with, once or twice. It explains an aligned pair of lines if it turns each run of the one into that of the other.
-   Transformations that explain lines of at least min_support groups are learned.
+   with, once or twice. It explains an aligned pair of lines if it turns each run of the one that differs into that
+   of the other. Transformations that explain lines of at least min_support groups are learned.
 3. Application: each learned transformation is undone on the words of all documents. What comes out is taken for
    the original if it is far likelier than the word as it stands, under counts of which character follows which
    over all documents (hashed into a table of fixed size). Replacement signs count as garbled beyond recovery.
@@ -18,6 +20,7 @@ Defined results: null and empty texts are no case and stay as they are. Keys mus
 from __future__ import annotations
 
 import codecs
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -36,10 +39,14 @@ READ = ("cp1252", "latin-1", "cp1251", "koi8_r", "cp437", "mac_roman", "cp866",
 #: All transformations that are tried: (written, read) once, and UTF-8 read as a Western table twice.
 CHAINS = tuple((a, b, 1) for a, b in product(WRITTEN, READ) if a != b) + tuple(("utf-8", b, 2) for b in ("cp1252", "latin-1"))
 BITS = 20
+#: Codecs with ASCII bytes within a character, and what is written in them.
+SPLIT = ("cp932", "gb18030", "big5")
+_EAST = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}\x{FF01}-\x{FF9F}]"
+#: Lines of which fewer ASCII characters are left also meet by their bytes.
+FEW = 8
 
-_OTHER = re.compile(r"[^\x00-\x7f]+")
+_RUN = re.compile(r"[^\x21-\x7e]+")
 _WORD = re.compile(r"[^\s\x00-\x1f]*[^\x00-\x7f][^\s\x00-\x1f]*")
-_NOISE = re.compile(r"[^\x00-\x7f]+|\s+")
 
 
 @lru_cache
@@ -89,32 +96,133 @@ def restore(text: str, chain: tuple[str, str, int]) -> str | None:
     return text
 
 
+def _runs(line: str) -> dict[int, str]:
+    """What stands between the ASCII characters of a line, by how many of these are before it."""
+    out, n, end = {}, 0, 0
+    for m in _RUN.finditer(line):
+        n, end = n + m.start() - end, m.end()
+        run = m[0].strip()
+        if run:
+            out[n] = run
+    return out
+
+
 def explains(clean: str, garbled: str) -> list[int]:
-    """The transformations, as indexes of CHAINS, that turn each non-ASCII run of clean into that of garbled."""
-    return [i for i, c in enumerate(CHAINS) if garble(clean, c) == garbled]
+    """The transformations, as indexes of CHAINS, that turn each non-ASCII run of clean that differs into that of garbled."""
+    x, y = _runs(clean), _runs(garbled)
+    differ = [n for n in x.keys() | y.keys() if x.get(n) != y.get(n)]
+    if not differ or any(n not in x or n not in y for n in differ):
+        return []
+    first = differ[0]
+    unread = {b: _unread(y[first], b) for b in READ}
+    written = {data: [] for data in unread.values() if data is not None}
+    for a in WRITTEN:
+        data = _written(x[first], a)
+        if data in written:
+            written[data].append(a)
+    likely = [i for i, (a, b, times) in enumerate(CHAINS) if times == 2 or unread[b] is not None and a in written[unread[b]]]
+    return [i for i in likely if all(garble(x[n], CHAINS[i]) == y[n] for n in differ)]
+
+
+def _written(text: str, codec: str) -> bytes | None:
+    try:
+        return text.encode(codec)
+    except UnicodeEncodeError:
+        return None
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.md5(data).digest()
+
+
+def by_bytes(line: str) -> list[tuple[bytes, int, int, bool]]:
+    """Digest of the bytes of a line under each codec, the codec, how often it was read, and whether as written (or as read)."""
+    out = []
+    for i, a in enumerate(WRITTEN):
+        data = _written(line, a)
+        if data is not None:
+            out.append((_digest(data), i, 0, True))
+    for i, b in enumerate(READ):
+        data = _unread(line, b)
+        if data is None:
+            continue
+        out.append((_digest(data), i, 1, False))
+        once = restore(line, ("utf-8", b, 1)) if ("utf-8", b, 2) in CHAINS else None
+        data = None if once is None else _unread(once, b)
+        if data is not None:
+            out.append((_digest(data), i, 2, False))
+    return out
+
+
+def readings(run: str) -> list[tuple[bytes, int]]:
+    """Digest of what a run is read as by each transformation that splits characters, and the transformation."""
+    out = []
+    for i, c in enumerate(CHAINS):
+        if c[0] in SPLIT:
+            g = garble(run, c)
+            if g is not None and g != run:
+                out.append((_digest(g.encode()), i))
+    return out
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Distinct lines with other than ASCII characters, the digest of their remaining characters, and in how many documents each occurs."""
-    line = docs.where(F.col(text).rlike(r"[^\x{0}-\x{7F}]")).select(F.explode(F.array_distinct(F.split(F.col(text), r"\n+|(?<=[.!?。])\s+"))).alias("line"))
+    """Distinct lines with other than ASCII characters, the digest of their remaining characters, the group they count for, and in how many documents each occurs."""
+    line = docs.where(F.col(text).rlike(r"[^\x{0}-\x{7F}]")).select(F.explode(F.array_distinct(F.split(F.col(text), r"\n+|(?<=[.!?])\s+|(?<=。)\s*"))).alias("line"))
     bare = F.regexp_replace("line", r"[^\x{21}-\x{7E}]+", "")
-    kept = line.where(F.col("line").rlike(r"[^\x{0}-\x{7F}]")).where(F.length(bare) >= 8)
-    return kept.groupBy("line").agg(F.count(F.lit(1)).alias("n")).withColumn("bare", F.unhex(F.md5(bare.cast("binary"))))
+    each = line.where(F.col("line").rlike(r"[^\x{0}-\x{7F}]")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    digest = lambda c: F.unhex(F.md5(c.cast("binary")))
+    few = F.length("__bare") < FEW
+    return each.withColumn("__bare", bare).select("line", "n", digest(F.col("__bare")).alias("bare"), few.alias("few"), F.when(few, digest(F.col("line"))).otherwise(digest(F.col("__bare"))).alias("group"))
 
 
-def learn(docs: DataFrame, key: str, text: str, min_support: int = 2) -> list[tuple[str, str, int]]:
-    """The transformations that explain twin lines, most supported first."""
-    each = materialise(lines(docs, key, text), "twin-lines")
-    best = each.groupBy("bare").agg(F.max_by("line", F.struct("n", "line")).alias("clean"), F.count(F.lit(1)).alias("variants")).where("variants > 1")
-    twins = each.join(best, "bare").where("line <> clean").select("line", "clean", "bare")
+def _aligned(each: DataFrame) -> DataFrame:
+    """chain and group of lines that are explained by the most frequent line with the same remainder."""
+    best = each.groupBy("bare").agg(F.max_by(F.struct("line", F.col("group").alias("of")), F.struct("n", "line")).alias("best"), F.count(F.lit(1)).alias("variants")).where("variants > 1")
+    twins = each.join(best.select("bare", F.col("best.line").alias("clean"), F.col("best.of").alias("of")), "bare").where("line <> clean").select("line", "clean", "group", "of")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [(i, k) for x, y, k in zip(b["line"], b["clean"], b["bare"]) for i in {*explains(x, y), *explains(y, x)}]
-            yield pd.DataFrame(got, columns=["chain", "bare"])
+            got = []
+            for x, y, g, of in zip(b["line"], b["clean"], b["group"], b["of"]):
+                got += [(i, g) for i in explains(x, y)] + [(i, of) for i in explains(y, x)]
+            yield pd.DataFrame(got, columns=["chain", "group"])
 
-    found = twins.mapInPandas(run, "chain int, bare binary")
-    support = found.groupBy("chain").agg(F.count_distinct("bare").alias("n")).where(F.col("n") >= min_support).collect()  # at most one row for each of CHAINS
+    return twins.mapInPandas(run, "chain int, group binary")
+
+
+def _same_bytes(each: DataFrame) -> DataFrame:
+    """chain and group of lines with few ASCII characters that have the bytes of another line under another codec."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(*k, g) for x, g in zip(b["line"], b["group"]) for k in by_bytes(x)], columns=["bytes", "codec", "times", "written", "group"])
+
+    known = each.where("few").mapInPandas(run, "bytes binary, codec int, times int, written boolean, group binary")
+    one, other = known.where("written").select("bytes", F.col("codec").alias("a"), "group"), known.where("not written").select("bytes", F.col("codec").alias("b"), "times", F.col("group").alias("read"))
+    number = {(WRITTEN.index(a), READ.index(b), t): i for i, (a, b, t) in enumerate(CHAINS)}
+    chain = F.create_map(*[F.lit(x) for (a, b, t), i in number.items() for x in ((a * 100 + b) * 10 + t, i)])
+    met = one.join(other, "bytes").where(F.col("group") != F.col("read"))
+    return met.select(F.try_element_at(chain, (F.col("a") * 100 + F.col("b")) * 10 + F.col("times")).alias("chain"), "group").where("chain is not null")
+
+
+def _same_reading(each: DataFrame) -> DataFrame:
+    """chain and group of runs between digits, signs and spaces that a codec with ASCII bytes within characters turns into others."""
+    runs = each.select("group", F.explode(F.array_distinct(F.split("line", r"[\x{20}-\x{3F}]+"))).alias("run")).where(F.col("run").rlike(r"[^\x{0}-\x{7F}].*[^\x{0}-\x{7F}]"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(*k, g) for x, g in zip(b["run"], b["group"]) for k in readings(x)], columns=["reading", "chain", "group"])
+
+    east = runs.where(F.col("run").rlike(_EAST)).groupBy("run").agg(F.min("group").alias("group"))
+    west = runs.where(~F.col("run").rlike(_EAST)).select(F.unhex(F.md5(F.col("run").cast("binary"))).alias("reading"))
+    return east.mapInPandas(run, "reading binary, chain int, group binary").join(west, "reading", "left_semi").select("chain", "group")
+
+
+def learn(docs: DataFrame, key: str, text: str, min_support: int = 2) -> list[tuple[str, str, int]]:
+    """The transformations that explain twin lines, most supported first."""
+    each = materialise(lines(docs, key, text), "twin-lines")
+    found = _aligned(each).unionByName(_same_bytes(each)).unionByName(_same_reading(each))
+    support = found.groupBy("chain").agg(F.count_distinct("group").alias("n")).where(F.col("n") >= min_support).collect()  # at most one row for each of CHAINS
     return [CHAINS[r["chain"]] for r in sorted(support, key=lambda r: (-r["n"], r["chain"]))]
 
 

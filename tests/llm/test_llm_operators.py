@@ -302,6 +302,29 @@ def test_mojibake(spark):
     assert mojibake.garbled(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_explains_aligned_runs_that_differ():
+    chain = mojibake.CHAINS.index(("utf-8", "cp1252", 1))
+    assert chain in mojibake.explains("Málaga – café für 12 Tage", "Málaga – cafÃ© für 12 Tage")
+    assert mojibake.explains("Málaga – café für 12 Tage", "Málaga – cafÃ© fur 12 Tage") == []
+    assert mojibake.explains("same café", "same café") == []
+
+
+@pytest.mark.parametrize(
+    "clean,chain",
+    [(["По мнению аналитики, рынок спорный.", "Запас мощности вырос, но мало."], ("koi8_r", "cp1251", 1)), (["データ品質", "メモリ価格の見直し"], ("utf-8", "cp1252", 1)), (["データ品質", "メモリ価格の見直し"], ("cp932", "cp1252", 1)), (["担当者は84ポイント前後で安定", "納期が63ポイント増えた"], ("cp932", "mac_roman", 1))],
+)
+def test_mojibake_learns_from_short_and_split_lines(spark, clean, chain):
+    docs = [(i, x) for i, x in enumerate(x for t in clean for x in (t, mojibake.garble(t, chain)))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert chain in mojibake.learn(df, "doc_id", "text")
+
+
+def test_mojibake_learns_from_a_garbled_passage_of_a_split_line(spark):
+    c = ("cp932", "cp1252", 1)
+    docs = [(i, x) for i, x in enumerate(x for a, b in (("担当者は", "ポイント前後で安定"), ("納期が", "ポイント増えた")) for x in (f"{a}84{b}", f"{a}84{mojibake.garble(b, c)}"))]
+    assert c in mojibake.learn(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text")
+
+
 # --- queries ------------------------------------------------------------------------------------------------------
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
