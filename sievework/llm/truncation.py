@@ -5,10 +5,14 @@ closers, and looks at how the text stops. Evidence that a text was cut:
 
 * marker: it ends with a sign of omission (an ellipsis, [...], (continued) and the like);
 * broken: it ends within a character (replacement sign), an entity, an escape or a tag;
-* open: a quote or bracket opened in the last sentence is never closed;
+* open: a quote or bracket opened in the last sentence, or a tag, is never closed;
 * dangling: its last word needs another one (an abbreviation such as "No.", a bare version number);
-* bare: its last sentence has no terminator. This is weighed against the source's baseline: where most
-  records of a source end bare, a bare end alone says nothing.
+* unended: its last sentence has no terminator, though one before it has;
+* torn: its last word has no terminator, occurs nowhere else in the table and begins a word that does;
+* bare: it is one sentence without a terminator. This is weighed against the source's baseline: where most
+  records of a source end bare, a bare end alone says nothing. Texts with other evidence have no part in the
+  baseline; a source of which they are a quarter of the bare ones or more cuts, and has none. Sources of few
+  texts have the baseline of the table.
 
 Closing lines (a label with a list or address, a dash with name and date, a remark in brackets) and complete
 notices of broken pages need no terminator.
@@ -27,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.residue import PHRASES
+from sievework.session import materialise
 
 # How texts are marked as cut, terminators, pairs of quotes and brackets, and abbreviations that want a word after them.
 _MARKER = re.compile(r"(?:…|\.\.\.|\[(?:…|\.\.\.|\+\d+[^\]]*)\]|\((?:continued|cont\.?|more|to be continued|fortsetzung folgt|suite|continúa|continua|продолжение следует)\)|\b(?:read more|weiterlesen|lire la suite|leer más|leia mais|читать далее)|»{2}|→)\s*$", re.IGNORECASE)
@@ -41,21 +46,32 @@ _CLOSING = re.compile(
 _BREAK = re.compile(r"(?<=[.!?。])[”\"»]?\s+")
 _HASH = re.compile(r"\b(?=[a-f]*\d)[0-9a-f]{8}\)?$", re.IGNORECASE)
 _HOLE = re.compile(r"(?:\}|>|\]|@@|__|%|NaN|undefined)$")
-_OPENER = re.compile(r"[“„«(\[{「『（\"]")
+_OPENER = re.compile(r"[“„«(\[{「『（\"<]")
 _OPEN = {"“": "”“", "„": "“”", "«": "»", "(": ")", "[": "]", "{": "}", "「": "」", "『": "』", "（": "）"}
-_SIGNS = re.compile(r"[“”„«»()\[\]{}「」『』（）\"]|(?<=[.!?])\s")
+# Elements that need an end tag; a tag that a text only writes about has no content at its end.
+_TAG = r"</?(?:a|abbr|article|b|blockquote|button|code|div|em|figure|font|form|h[1-6]|i|label|main|ol|pre|q|script|section|small|span|strong|style|sub|sup|table|u|ul)(?:\s[^<>]*)?>"
+_SIGNS = re.compile(rf"[“”„«»()\[\]{{}}「」『』（）\"]|(?<=[.!?])\s|(?i:{_TAG}(?![ ,.;:)]|$)|(?=</){_TAG})")
 
 
 def _open_at_end(text: str) -> bool:
     """Whether something opened in the last sentence is still open at the end.
 
-    A sentence that ends outside of quotes takes what it left open with it, as writers forget closers.
+    A sentence that ends outside of quotes takes what it left open with it, as writers forget closers. Elements
+    may hold many sentences, so tags stay open.
     """
     stack: list[str] = []
+    tags: list[str] = []
     straight = False
     for m in _SIGNS.finditer(text):
         c = m[0]
-        if c == '"':
+        if len(c) > 1:
+            name = re.split(r"[\s>]", c.strip("</").lower(), maxsplit=1)[0]
+            if c[1] != "/":
+                tags.append(name)
+            elif name in tags:
+                while tags.pop() != name:
+                    pass
+        elif c == '"':
             straight = not straight
         elif stack and c in _OPEN[stack[-1]]:
             stack.pop()
@@ -63,7 +79,7 @@ def _open_at_end(text: str) -> bool:
             stack.append(c)
         elif c.isspace() and not {"“", "„", "«"} & set(stack):
             stack.clear()
-    return bool(stack) or straight
+    return bool(stack or tags) or straight
 
 
 def evidence(text: str) -> str | None:
@@ -90,22 +106,55 @@ def evidence(text: str) -> str | None:
     return None if _CLOSING.search(last) else "bare"
 
 
-def judge(rows: DataFrame, keys: list[str], source: str, text: str, most_bare: float = 0.5) -> DataFrame:
+_SENTENCE = re.compile(r"[^\W\d_]{2}[”\"»)]?[.!?][”\"»)]?\s|[。！？]")
+_WORD = r"[\p{L}\p{M}]+"
+
+
+def firm_evidence(text: str) -> str | None:
+    """As evidence, but of bare texts those that are cut whatever their source does are told apart."""
+    kind = evidence(text)
+    if kind != "bare":
+        return kind
+    if _OPENER.search(text) and _open_at_end(text.rstrip()):
+        return "open"
+    return "unended" if _SENTENCE.search(text) else "bare"
+
+
+def torn_words(texts: DataFrame, lasts: DataFrame) -> DataFrame:
+    """Of the words in column last those that occur in no text but at its bare end, and begin one that does."""
+    inner = F.split(F.regexp_replace(F.lower("text"), _WORD + r"\s*$", ""), r"[^\p{L}\p{M}]+")
+    words = texts.select(F.explode(F.array_distinct(inner)).alias("word")).distinct()
+    starts = words.where(F.length("word") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda n: F.substr("word", F.lit(1), n))).alias("last"))
+    return lasts.join(words, F.col("last") == F.col("word"), "left_anti").join(starts, "last", "left_semi")
+
+
+def judge(rows: DataFrame, keys: list[str], source: str, text: str, most_bare: float = 0.5, least_texts: int = 20) -> DataFrame:
     """All rows with a filled text: keys, source, and cut, whether the text was cut.
 
     most_bare: a source of which a larger share ends bare is taken to write so.
+    least_texts: a source with fewer texts that are whole or bare is judged by those of all sources.
     """
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keys, F.col(source).alias("source")).dtypes) + ", evidence string"
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keys, F.col(source).alias("source")).dtypes) + ", evidence string, last string"
+    final = re.compile(r"(?:[^\W\d_]|[\u0300-\u036f])+$")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = b[[*keys, "source"]].copy()
-            out["evidence"] = [evidence(t) for t in b["text"]]
+            out["evidence"] = [firm_evidence(t) for t in b["text"]]
+            out["last"] = [m[0].lower() if e == "bare" and (m := final.search(t.rstrip())) else None for e, t in zip(out["evidence"], b["text"])]
             yield out
 
     filled = rows.where(F.trim(text) != "").select(*keys, F.col(source).alias("source"), F.col(text).alias("text"))
-    judged = filled.mapInPandas(run, schema)
-    baseline = judged.groupBy(F.col("source").alias("__source")).agg((F.sum(F.when(F.col("evidence") == "bare", 1).otherwise(0)) / F.count(F.lit(1)) > most_bare).alias("__bare"))
+    judged = materialise(filled.mapInPandas(run, schema), "cut-evidence")
+    torn = torn_words(filled, judged.where("last is not null").select("last").distinct()).select(F.col("last").alias("__torn"))
+    judged = judged.join(torn, F.col("last") == F.col("__torn"), "left").withColumn("evidence", F.when(F.col("__torn").isNotNull(), "torn").otherwise(F.col("evidence"))).drop("last", "__torn")
+
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    kinds = judged.groupBy(F.col("source").alias("__source")).agg(count(F.col("evidence") == "bare").alias("bare"), count(F.col("evidence").isNull()).alias("whole"), count(F.col("evidence").isin("torn", "open", "unended")).alias("firm"))
+    pooled = kinds.agg(*[F.sum(c).alias(f"all_{c}") for c in ("bare", "whole", "firm")])  # one row
+    writes = lambda p: (F.col(f"{p}bare") > most_bare * (F.col(f"{p}bare") + F.col(f"{p}whole"))) & (4 * F.col(f"{p}firm") < F.col(f"{p}bare"))
+    own = F.col("bare") + F.col("whole") >= least_texts
+    baseline = kinds.crossJoin(F.broadcast(pooled)).select("__source", F.when(own, writes("")).otherwise(writes("all_")).alias("__bare"))
     cut = F.coalesce((F.col("evidence") != "bare") | ((F.col("evidence") == "bare") & ~F.col("__bare")), F.lit(False))
     return judged.join(baseline, F.col("source").eqNullSafe(F.col("__source"))).select(*keys, "source", cut.alias("cut"))
 

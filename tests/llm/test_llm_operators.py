@@ -173,6 +173,24 @@ def test_truncation_follows_the_source(spark):
     assert truncation.evidence("x (" * 100_000) == "bare"
 
 
+@pytest.mark.parametrize(
+    "text,kind",
+    [("The plan (as it was", "open"), ("He said “all is", "open"), ("x (" * 100_000, "open"), ("All is well. The second review of the", "unended"), ("A heading without a stop", "bare"), ("<b>All</b> is well.", None), ("<div>All is well. It <em>holds.", "open"),
+     ("Wrap it in a <div> element.", None), ("It ends so. Tags: release notes", None), ("Version 3. of it", "bare")],
+)
+def test_truncation_firm_evidence(text, kind):
+    assert truncation.firm_evidence(text) == kind
+
+
+def test_truncation_of_a_source_that_cuts_most(spark):
+    whole = "the committee reviewed every contract before publication and accepted amendments"
+    cuts = [whole[: 20 + i] for i in range(55)]
+    rows = [("cutter", c) for c in cuts] + [("cutter", "Done.")] * 5 + [("writer", "a heading about contract publication")] * 40 + [("writer", "a heading about amend")] + [("small", "all accepted amendments")] * 3 + [("full", whole + ".")] * 60
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ordinal bigint, s string, t string")
+    got = {r["source"]: (r["n_texts"], r["n_cut"]) for r in truncation.rates(truncation.judge(df, ["ordinal"], "s", "t")).collect()}
+    assert got == {"cutter": (60, 55), "writer": (41, 1), "small": (3, 3), "full": (60, 0)}
+
+
 # --- boilerplate --------------------------------------------------------------------------------------------------
 
 
