@@ -131,6 +131,26 @@ def test_redaction_and_body_status(spark):
     assert [r[0] for r in spark.createDataFrame([(x,) for x in b], "t string").select(content.body_status(F.col("t"))).collect()] == ["empty", "empty", "usable", "access_blocked", "not_found_or_closed", "javascript_shell", "usable"]
 
 
+def test_redaction_has_all_passes(spark):
+    want = {
+        "set-cookie: a=b; c=d": "set-cookie=[REDACTED]",
+        "authorization: Basic abc": "authorization=Basic [REDACTED]",
+        "authorization=abc123 and more": "authorization=[REDACTED] and more",
+        "sent bearer abc.def": "sent Bearer [REDACTED]",
+        "/x?sid=abc&y=1": "/x?sid=[REDACTED]&y=1",
+        "run --password hunter2 --token abc --depth 3": "run --password [REDACTED] --token [REDACTED] --depth 3",
+        "auth: abc": "auth=[REDACTED]",
+        "session_id=abc session=def": "session_id=[REDACTED] session=[REDACTED]",
+        "storage_state=abc": "storage_state=[REDACTED]",
+        "x-auth = abc": "x-auth=[REDACTED]",
+        "github_pat_" + "a1" * 12: "[REDACTED]",
+        "auth_type=basic": "auth_type=basic",
+        "--prior-authorization yes": "--prior-authorization yes",
+    }
+    df = spark.createDataFrame([(x,) for x in want], "t string")
+    assert {r["t"]: r["clean"] for r in df.select("t", content.redact(F.col("t")).alias("clean")).collect()} == want
+
+
 def test_reconcile_and_fingerprint(spark):
     planned = spark.createDataFrame([(1,), (2,), (3,)], "query_id bigint")
     rec = spark.createDataFrame([(1, "error"), (1, "ok"), (2, "error"), (2, "error")], "query_id bigint, status string")
