@@ -6,7 +6,7 @@ share one, and no counter or global sort is needed). Records become sorted tuple
 (field, value id) and are grouped by these tuples of integers.
 
 Defined results: a record takes part if each of its fields is filled and keeps a letter or digit;
-all others are records of their own. Row ids must be unique and not null. Letter case is compared
+all others are records of their own (in records; collapse leaves them out). Row ids must be unique and not null. Letter case is compared
 in lower case, with ß as ss, which it becomes in capitals. An empty table gives an empty result.
 Columns of the input other than those named are not read, whatever their names.
 """
@@ -61,6 +61,12 @@ def collapse(encoded: DataFrame, key: str) -> DataFrame:
     return encoded.groupBy("record").agg(F.min(key).alias("first_key"), F.count(F.lit(1)).alias("copies"))
 
 
+def records(rows: DataFrame, encoded: DataFrame, key: str) -> DataFrame:
+    """As collapse, and one row for each row that takes no part, as a record of its own."""
+    alone = rows.select(key).join(encoded.select(key), key, "left_anti").select(F.col(key).alias("first_key"), F.lit(1).cast("bigint").alias("copies"))
+    return collapse(encoded, key).select("first_key", "copies").unionByName(alone)
+
+
 def copies(encoded: DataFrame, key: str) -> DataFrame:
     """One row for each row that is not the first of its record: first_key, copy_key."""
     firsts = collapse(encoded, key).where("copies > 1").drop("copies")

@@ -19,6 +19,13 @@ def p2_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies.collapse(encoded, "ordinal").select(F.col("first_key").alias("first_ordinal"), "copies")
 
 
+def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p2_collapsed, with the rows that take no part as records of one copy."""
+    rows = table(spark, sf_dir, "false_positive_evidence")
+    encoded = materialise(exact_copies.encode(rows, "ordinal", exact_copies.EVIDENCE), "records")
+    return exact_copies.records(rows, encoded, "ordinal").select(F.col("first_key").alias("first_ordinal"), "copies")
+
+
 def _residue_parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """Evidence and probes in one form: tbl, key, host, text, titled, status."""
     host = lambda c: F.regexp_extract(F.lower(F.col(c)), "://([^/:?#]+)", 1)
@@ -138,7 +145,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("restored", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p3_usable": p3_usable, "p3_validation": p3_validation, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_main_text": p6_main_text, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p2_records": p2_records, "p3_found": p3_found, "p3_usable": p3_usable, "p3_validation": p3_validation, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_main_text": p6_main_text, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_restored": p10_restored}
 
 _P2 = r"""
 WITH r AS (
@@ -154,4 +161,5 @@ g AS (SELECT ordinal, min(ordinal) OVER (PARTITION BY u, t) AS first_ordinal, co
 ORACLE = {
     "p2_found": _P2 + "SELECT first_ordinal, ordinal AS copy_ordinal FROM g WHERE ordinal <> first_ordinal",
     "p2_collapsed": _P2 + "SELECT first_ordinal, copies FROM g WHERE ordinal = first_ordinal",
+    "p2_records": _P2 + "SELECT first_ordinal, copies FROM g WHERE ordinal = first_ordinal UNION ALL SELECT ordinal, 1 FROM false_positive_evidence WHERE ordinal NOT IN (SELECT ordinal FROM r WHERE u NOT IN ('', '?') AND t <> '')",
 }

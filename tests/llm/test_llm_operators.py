@@ -29,6 +29,12 @@ def test_exact_copies_collapse_spellings(spark):
     assert exact_copies.copies(exact_copies.encode(df.limit(0), "ordinal", exact_copies.EVIDENCE), "ordinal").count() == 0
 
 
+def test_exact_copies_records_hold_all_rows(spark):
+    df = spark.createDataFrame(COPIES, "ordinal bigint, url string, title string")
+    e = exact_copies.encode(df, "ordinal", exact_copies.EVIDENCE)
+    assert rows_of(exact_copies.records(df, e, "ordinal"), "first_key", "copies") == [(0, 3), (3, 2), (4, 1), (5, 1), (6, 1), (7, 1), (9, 1)]
+
+
 def test_exact_copies_hot_value(spark):
     df = spark.range(3000).select(F.col("id").alias("ordinal"), F.when(F.col("id") % 3 == 0, "https://hot.example/").otherwise(F.concat(F.lit("https://h.example/"), "id")).alias("url"), F.lit("T").alias("title"))
     got = exact_copies.copies(exact_copies.encode(df, "ordinal", exact_copies.EVIDENCE), "ordinal")
@@ -376,3 +382,16 @@ def test_queries_equal_their_sql(spark, name):
     r = con.execute(queries.ORACLE[name])
     cols = [c[0] for c in r.description]
     assert sorted(r.fetchall()) == sorted(tuple(x[c] for c in cols) for x in queries.QUERIES[name](spark, DATA).collect())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_records_equal_their_sql_and_hold_all_rows(spark):
+    import duckdb
+
+    from sievework.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW false_positive_evidence AS SELECT * FROM read_parquet('{DATA}/false_positive_evidence.parquet')")
+    got = sorted((x["first_ordinal"], x["copies"]) for x in queries.QUERIES["p2_records"](spark, DATA).collect())
+    assert got == sorted(con.execute(queries.ORACLE["p2_records"]).fetchall())
+    assert sum(n for _, n in got) == con.execute("SELECT count(*) FROM false_positive_evidence").fetchall()[0][0]
