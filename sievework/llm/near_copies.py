@@ -6,11 +6,12 @@ The dimensions are cut into partitions, and each partition gets a threshold of i
 size - 1 (probed: the pair is a candidate if the partition's bits agree in at least one place). By the pigeonhole
 principle no pair is lost while the probed partitions of a text hold more bits than it may miss.
 
-* Correlated bits: neighbouring shingles change together. The texts' shingles are laid out by their estimated count,
-  and equal counts by the hash of their rarest neighbourhood, so that what is probed is one prefix of that order.
+* Order: the texts' shingles are laid out by their estimated count, and equal counts by the shingle's own hash, so
+  that what is probed is one prefix of that order. Each shingle is a partition of its own: neighbouring shingles
+  change together, but no correlated bits are grouped.
 * Allocation: the cost of a partition is its estimated number of candidates, its gain the bits it covers. All gains
   being one bit, the dynamic program over (partitions, bits still to cover) is solved by taking partitions in
-  ascending order of cost; see allocate(), which is the general program, and the test that compares both.
+  ascending order of cost; allocate() is the general program, which no query calls, and the test compares both.
 * Estimates: all shingles of all texts are counted into 2**COUNTER_BITS counters, whose logarithms are broadcast
   (a fixed 4 MB). A counter holds at least the true count, so that a shingle counted once has no partner and is
   never sent. The estimates decide only what a probe costs, never what is found.
