@@ -72,10 +72,9 @@ def _bucket(n: int) -> int:
 
 @lru_cache(100_000)
 def _text_features(text: str) -> tuple[int, ...]:
-    words = _WORD.findall(_DIGITS.sub("0", text[:4000].lower())) if len(text) > 4000 else _WORD.findall(_DIGITS.sub("0", text.lower()))
-    head = words[:12]
-    out = {zlib.crc32(w.encode("utf-8", "surrogatepass")) % _SIDE for w in words[:60]}
-    out |= {zlib.crc32((a + " " + b).encode("utf-8", "surrogatepass")) % _SIDE for a, b in zip(head, head[1:])}
+    words = _WORD.findall(_DIGITS.sub("0", text.lower()))
+    out = {zlib.crc32(w.encode("utf-8", "surrogatepass")) % _SIDE for w in words}
+    out |= {zlib.crc32((a + " " + b).encode("utf-8", "surrogatepass")) % _SIDE for a, b in zip(words, words[1:])}
     if words:
         out |= {zlib.crc32(("first " + words[0]).encode("utf-8", "surrogatepass")) % _SIDE, zlib.crc32(("last " + words[-1]).encode("utf-8", "surrogatepass")) % _SIDE}
     caps = [w for w in text.split() if w[:1].isalpha()]

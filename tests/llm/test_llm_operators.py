@@ -228,6 +228,13 @@ def test_boilerplate_field():
     assert np.allclose(p, marg / total) and np.isclose(pair.sum(), 4)
 
 
+def test_boilerplate_features_see_the_whole_block():
+    long = " ".join(f"word{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}" for i in range(90))
+    side = lambda t: {f for f in boilerplate._text_features(t) if f < boilerplate._SIDE}
+    assert side(long + " we use cookies here") - side(long + " here") and side(long + " cookies use here") != side(long + " use cookies here")
+    assert side("word " * 2000 + "accept") != side("word " * 2000 + "word")
+
+
 def test_boilerplate_tables(spark):
     r = random.Random(1)
     data = [(i, page(r, i)) for i in range(80)] + [(80, None), (81, []), (82, [(None, None), ("h", " ")])]
