@@ -5,15 +5,16 @@ says what each code point, and each base letter with combining marks, becomes. T
 positioned units: code points that the table may change, base letters with their marks, and the runs
 between them, which stay as they are. The units are exploded, joined with the table (broadcast: its
 size is bounded by Unicode, not by the data), stacks of marks that the table lacks are put into the
-order of their combining classes, and the text is rebuilt from its units. Texts without any code
-point that the table changes are passed through and never exploded.
+order of their combining classes, and the text is rebuilt from its units and composed (NFC), so that
+bases with a mark of their own, kana and jamo meet their composed forms. Texts without any code point
+that the table changes are passed through and never exploded.
 
 Kept apart, as the difference shows: accents, letter case, digits, superscripts, fractions, circled
 and mathematical letters, kinds of dashes and quotes. White space of any width becomes a space;
 line breaks and tabs stay. Invisible format characters are dropped.
 
 Defined results: null stays null and '' stays ''. Text ids must be unique and not null.
-Conjoining Hangul jamo are left as they are.
+Conjoining Hangul jamo become syllables.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import sys
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,6 +116,10 @@ def _still(least: int = 4) -> str:
     return "".join(runs) + r"\x{2012}-\x{2029}\x{20AC}\x{3001}-\x{3029}\x{3041}-\x{3096}\x{30A1}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
 
 
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
 def common_form(texts: DataFrame, key: list[str], text: str, into: str = "form", keep: list[str] = ()) -> DataFrame:
     """The one form of column text, in column into, with the columns key and keep.
 
@@ -139,7 +145,7 @@ def common_form(texts: DataFrame, key: list[str], text: str, into: str = "form",
         .select(*key, *keep, "__pos", F.when(stack, F.concat(F.coalesce("__base_to", F.substring("__unit", 1, 1)), ordered)).otherwise(F.coalesce("__to", "__unit")).alias("__unit"))
     )
     whole = done.groupBy(*key).agg(*[F.first(c).alias(c) for c in keep], F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__unit"))), lambda u: u["__unit"]), "").alias(into))
-    return calm.unionByName(whole)
+    return calm.unionByName(whole.withColumn(into, F.pandas_udf(_composed, "string")(into)))
 
 
 def same_looks(texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -57,6 +57,13 @@ def test_visual_form(spark):
     assert [form[n + i] for i in range(4)] == [None, "", "plain ascii", "z" * 200_000 + "é"]
 
 
+def test_visual_form_composes_in_full(spark):
+    same = [("\u00e9\u0323", "e\u0323\u0301"), ("\u304b\u3099", "\u304c"), ("\uff76\uff9e", "\u30ac"), ("\u0451\u0323", "e\u0323\u0308"), ("\u1112\u1161\u11ab", "\ud55c")]
+    df = spark.createDataFrame(list(enumerate(t + " x" for p in same for t in p)), "id bigint, text string")
+    form = {r["id"]: r["form"] for r in visual_form.common_form(df, ["id"], "text").collect()}
+    assert all(form[2 * i] == form[2 * i + 1] for i in range(len(same))), form
+
+
 def test_same_looks_pairs(spark):
     df = spark.createDataFrame([(1, "café"), (2, "café"), (3, "café"), (4, "other"), (5, "other"), (6, None), (7, ""), (8, "")], "ordinal bigint, text string")
     assert rows_of(visual_form.same_looks(df, "ordinal", "text"), "key_a", "key_b") == [(1, 2), (2, 3)]
