@@ -17,6 +17,7 @@ import base64
 import heapq
 import os
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -38,12 +39,29 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: how byte-level BPE of this vocabulary cuts a text into words.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD = regex.compile(PATTERN)
-# the same cut for texts of ASCII alone, by the faster library
+# the same cuts by the faster library: for texts of ASCII alone, and for those without the code points that it reads otherwise
 _ASCII_WORD = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+_PLAIN_WORD = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
+
+@lru_cache
+def _differs() -> np.ndarray:
+    """Of all code points, whether the two libraries take them for other kinds of characters: by rule, each is asked."""
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    out = np.zeros(len(every), bool)
+    for one, other in ((r"\p{L}+", r"[^\W\d_]+"), (r"\p{N}+", r"\d+"), (r"\s+", r"\s+")):
+        mine = np.zeros(len(every), bool)
+        for found in (regex.finditer(one, every), re.finditer(other, every)):
+            for m in found:
+                mine[m.start() : m.end()] ^= True
+        out |= mine
+    return out
 
 
 def split(text: str) -> list[str]:
-    return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
+    if text.isascii():
+        return _ASCII_WORD.findall(text)
+    return (_WORD if _differs()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any() else _PLAIN_WORD).findall(text)
 
 
 _NONE = 1 << 60
@@ -61,12 +79,15 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(word)
     if n <= 32:  # a short word has few pairs; looking at all of them each time is quicker than a heap
         parts = [word[i : i + 1] for i in range(n)]
-        while len(parts) > 1:
-            pairs = [a + b for a, b in zip(parts, parts[1:])]
-            r, i = min((ranks.get(p, _NONE), i) for i, p in enumerate(pairs))
-            if r == _NONE:
-                break
-            parts[i : i + 2] = [pairs[i]]
+        at = [ranks.get(word[i : i + 2], _NONE) for i in range(n - 1)]
+        while at and (r := min(at)) != _NONE:
+            i = at.index(r)
+            parts[i] += parts.pop(i + 1)
+            del at[i]
+            if i:
+                at[i - 1] = ranks.get(parts[i - 1] + parts[i], _NONE)
+            if i < len(at):
+                at[i] = ranks.get(parts[i] + parts[i + 1], _NONE)
         return [ranks[p] for p in parts]
     end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     alive = [True] * n
@@ -210,10 +231,18 @@ def compile_lexicon(docs: DataFrame, text: str, lexicon_words: int = 50_000, fol
     """Build the lexicon of the most frequent words; the names of its file and of the vocabulary's, as handed to executors."""
     spark = docs.sparkSession
     words = materialise(count_words(docs, text).where("n > 1 and length(word) <= 64"), "word-counts")
-    # by powers of two of the count: from which one on there are enough words, so that each task sends few others
-    sizes = {r["b"]: r["m"] for r in words.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count(F.lit(1)).alias("m")).collect()}
-    least = next((b for b in sorted(sizes, reverse=True) if sum(m for c, m in sizes.items() if c >= b) >= lexicon_words), 0)
-    frequent = words.where(F.col("n") >= 2**least).orderBy(F.desc("n"), "word").limit(lexicon_words).collect()
+    # by sixteenths of the binary logarithm of the count: all words of the classes that fit, and of the next one a share by hash, so that
+    # no more than about lexicon_words rows reach the driver, and no task sorts or sends others
+    size = F.floor(16 * F.log2("n"))
+    sizes = {r["b"]: r["m"] for r in words.groupBy(size.alias("b")).agg(F.count(F.lit(1)).alias("m")).collect()}  # at most 16 x 63 classes
+    left, least, share = lexicon_words, max(sizes, default=0) + 1, 0.0
+    for b in sorted(sizes, reverse=True):
+        if sizes[b] > left:
+            share = left / sizes[b]
+            break
+        left, least = left - sizes[b], b
+    place = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    frequent = words.where((size >= least) | ((size >= (b if share else least)) & (place < share))).select("word").collect()
     discard(words)
     ranks = read_ranks(folder, name)
     lexicon = Lexicon.build({(w := r["word"].encode()): merge(w, ranks) for r in frequent})
