@@ -46,7 +46,13 @@ _EAST = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}\x{FF01}-\x{FF9F}]
 FEW = 8
 
 _RUN = re.compile(r"[^\x21-\x7e]+")
-_WORD = re.compile(r"[^\s\x00-\x1f]*[^\x00-\x7f][^\s\x00-\x1f]*")
+# words end at ASCII white space alone: other spaces are often one byte of a garbled character
+_WORD = re.compile(r"[^ \t-\r]+")
+
+
+def words(text: str) -> list[str]:
+    """The words of a text that hold other than ASCII characters."""
+    return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split() if not w.isascii()]
 
 
 @lru_cache
@@ -226,10 +232,23 @@ def learn(docs: DataFrame, key: str, text: str, min_support: int = 2) -> list[tu
     return [CHAINS[r["chain"]] for r in sorted(support, key=lambda r: (-r["n"], r["chain"]))]
 
 
+def _hash(a, b):
+    return ((a * 0x9E3779B1 + b) * 0x85EBCA6B >> 7) & ((1 << BITS) - 1)
+
+
 def _pairs(word: str) -> list[int]:
-    """Hashes of each character with the one before it."""
+    """Hashes of each character with the one before it, if one of them is not ASCII."""
     p = [32, *map(ord, word), 32]
-    return [((a * 0x9E3779B1 + b) * 0x85EBCA6B >> 7) & ((1 << BITS) - 1) if a > 126 or b > 126 else -1 for a, b in zip(p, p[1:])]
+    return [_hash(a, b) for a, b in zip(p, p[1:]) if a > 126 or b > 126]
+
+
+def _all_pairs(texts: list[str]) -> np.ndarray:
+    """_pairs of all words of all texts, in one pass over their code points."""
+    p = np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    p = np.where((p >= 9) & (p <= 13), 32, p)
+    a, b = p[:-1], p[1:]
+    wide = (a > 126) | (b > 126)
+    return _hash(a[wide].astype(np.uint64), b[wide].astype(np.uint64)).astype(np.int64)
 
 
 def follow_counts(docs: DataFrame, text: str) -> np.ndarray:
@@ -238,8 +257,7 @@ def follow_counts(docs: DataFrame, text: str) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << BITS, np.int64)
         for b in batches:
-            hits = [h for t in b["text"] for w in _WORD.findall(t) for h in _cached_pairs(w)]
-            total += np.bincount(np.array(hits, np.int64), minlength=1 << BITS) if hits else 0
+            total += np.bincount(_all_pairs(b["text"].tolist()), minlength=1 << BITS)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"pair": at.astype(np.int32), "n": total[at]})
 
@@ -250,15 +268,10 @@ def follow_counts(docs: DataFrame, text: str) -> np.ndarray:
     return out
 
 
-@lru_cache(200_000)
-def _cached_pairs(word: str) -> tuple[int, ...]:
-    return tuple(h for h in _pairs(word) if h >= 0)
-
-
 def _likely(word: str, counts: np.ndarray) -> float:
     """Mean log count of the pairs of a word; a word of ASCII alone is as likely as words get."""
-    p = _cached_pairs(word) if len(word) < 200 else tuple(h for h in _pairs(word) if h >= 0)
-    return float(counts[list(p)].mean()) if p else 9.0
+    p = _pairs(word) if len(word) < 40 else _all_pairs([word])
+    return float(counts[p].mean()) if len(p) else 9.0
 
 
 _CONTROL = re.compile(r"[\x80-\x9f]")
@@ -316,16 +329,10 @@ class Judge:
 
     def text(self, text: str) -> tuple[bool, str]:
         """Whether the text is garbled, and the text with its garbled words restored where that is possible."""
-        garbled = False
-
-        def one(m: re.Match) -> str:
-            nonlocal garbled
-            bad, to = self.word(m[0])
-            garbled |= bad
-            return to if bad and to is not None else m[0]
-
-        restored = _WORD.sub(one, text)
-        return garbled, restored
+        bad = {w: to for w in words(text) if (found := self.word(w))[0] for to in found[1:]}
+        if not bad:
+            return False, text
+        return True, _WORD.sub(lambda m: bad.get(m[0]) or m[0], text)
 
 
 def judge(docs: DataFrame, key: str, text: str, chains: list[tuple[str, str, int]], counts: np.ndarray) -> DataFrame:
