@@ -62,14 +62,21 @@ def _evidence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ordinal", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("text")).alias("text"))
 
 
+def _near(spark: SparkSession, sf_dir: str) -> near_copies.Found:
+    return near_copies.links(visual_form.common_form(_evidence_texts(spark, sf_dir), ["ordinal"], "text"), "ordinal", "form", near_copies.FOUND)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_copies.links(visual_form.common_form(_evidence_texts(spark, sf_dir), ["ordinal"], "text"), "ordinal", "form", near_copies.FOUND)
-    return near_copies.expand(found).select(F.col("key_a").alias("ordinal_a"), F.col("key_b").alias("ordinal_b"))
+    return near_copies.expand(_near(spark, sf_dir)).select(F.col("key_a").alias("ordinal_a"), F.col("key_b").alias("ordinal_b"))
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row that takes part, with the class of its words and the number of classes that is linked to."""
+    return near_copies.linked(_near(spark, sf_dir)).withColumnRenamed("key", "ordinal")
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_copies.links(visual_form.common_form(_evidence_texts(spark, sf_dir), ["ordinal"], "text"), "ordinal", "form", near_copies.FOUND)
-    return near_copies.groups(found).select(F.col("key").alias("ordinal"), "group_id")
+    return near_copies.groups(_near(spark, sf_dir)).select(F.col("key").alias("ordinal"), "group_id")
 
 
 def _cut(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
@@ -145,7 +152,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("restored", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p2_records": p2_records, "p3_found": p3_found, "p3_usable": p3_usable, "p3_validation": p3_validation, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_main_text": p6_main_text, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p2_records": p2_records, "p3_found": p3_found, "p3_usable": p3_usable, "p3_validation": p3_validation, "p4_found": p4_found, "p4_classes": p4_classes, "p4_groups": p4_groups, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_main_text": p6_main_text, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_restored": p10_restored}
 
 _P2 = r"""
 WITH r AS (

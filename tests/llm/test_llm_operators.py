@@ -3,6 +3,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,7 +107,7 @@ def edited(r, words):
     return w
 
 
-@pytest.mark.parametrize("s", [near_copies.FOUND, near_copies.Settings()])
+@pytest.mark.parametrize("s", [near_copies.FOUND, near_copies.Settings(), near_copies.Settings(3, 0.6, 30, hot=4)])
 def test_near_copies_equal_brute_force(spark, s):
     r = random.Random(11)
     bases = [[f"w{r.randrange(400)}" for _ in range(r.randrange(25, 120))] for _ in range(40)]
@@ -130,13 +131,40 @@ def test_near_copies_empty_and_hot(spark):
     assert found.links.count() == 0 and near_copies.groups(found).select("group_id").distinct().count() == 1
 
 
+def dynamic_program(costs, need):
+    """Least cost of covering need bits, each partition one: the general program over (partitions, bits covered)."""
+    best = [0.0] + [float("inf")] * need
+    for c in costs:
+        best = [0.0] + [min(best[k], best[k - 1] + c) for k in range(1, need + 1)]
+    return best[need]
+
+
 def test_allocation_by_ascending_cost_is_the_optimum():
-    r = random.Random(2)
-    for _ in range(50):
-        costs = [r.randrange(1, 99) for _ in range(9)]
-        need = r.randrange(1, 9)
-        chosen = near_copies.allocate(costs, [1] * 9, need)
-        assert sum(c for c, y in zip(costs, chosen) if y) == sum(sorted(costs)[:need])
+    r = np.random.default_rng(2)
+    owner = np.repeat(np.arange(40), r.integers(1, 12, 40))
+    cost, tie, miss = r.integers(0, 255, len(owner)), r.integers(0, 1 << 62, len(owner)).astype(np.uint64), r.integers(0, 6, 40)
+    bits = near_copies.ordered(owner, cost, tie)
+    of, costs = (bits >> np.uint64(52)).astype(int), (bits >> np.uint64(44)) & np.uint64(255)
+    probed = near_copies.allocate(of, np.unique(of, return_index=True)[1], miss)
+    for i in range(40):
+        need = min(int(miss[i]) + 1, int((owner == i).sum()))
+        assert costs[probed & (of == i)].sum() == dynamic_program(cost[owner == i].tolist(), need)
+
+
+def test_near_copies_links_of_classes(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join(base)) for i in range(5)] + [(5, " ".join(base[:-1])), (6, " ".join(base[:-1])), (7, " ".join(f"x{i}" for i in range(60))), (8, None)]
+    found = near_copies.links(spark.createDataFrame(texts, "ordinal bigint, text string"), "ordinal", "text")
+    got = {r["key"]: (r["class_id"], r["n_links"]) for r in near_copies.linked(found).collect()}
+    assert got == {**{i: (0, 1) for i in range(5)}, 5: (5, 1), 6: (5, 1), 7: (7, 0)}
+
+
+def test_shingles_do_not_depend_on_the_batch():
+    text = " ".join(f"w{i}" for i in range(40))
+    alone, _ = near_copies.shingles([text], near_copies.FOUND)
+    b = pa.RecordBatch.from_arrays([pa.array(range(70_001), pa.int64()), pa.array([text if i in (0, 70_000) else "a" for i in range(70_001)])], ["key", "text"])
+    sets = [x for r in near_copies._sets(iter([b]), near_copies.FOUND) for x in r["set"].to_pylist()]
+    assert len(sets) == 2 and all((np.frombuffer(x, np.uint64) == alone).all() for x in sets)
 
 
 # --- residue ------------------------------------------------------------------------------------------------------
