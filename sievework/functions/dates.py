@@ -8,10 +8,50 @@ from pyspark.sql import functions as F
 _DATE = r"20\d{2}[-/](?:0[1-9]|1[0-2])[-/](?:0[1-9]|[12]\d|3[01])|20\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])"
 
 
+_CLOCK = r"(?:[01]\d|2[0-3])(?::?[0-5]\d(?::?[0-5]\d(?:[.,]\d+)?)?)?"
+#: An ISO date, alone or with a time of day and an offset.
+ISO = rf"^\d{{4}}-\d{{2}}-\d{{2}}(?:[T ]{_CLOCK}(?:Z|[+-]{_CLOCK})?)?$"
+
+
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def iso_date(c: Column) -> Column:
     """The date that an ISO date or date-time begins with, in its own offset; with any '/' in it null."""
-    ok = c.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d+)?)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?\z")
-    return F.when(ok, F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd"))
+    plain = stripped(c)
+    return F.when(plain.rlike(ISO.replace("$", r"\z")), F.try_to_date(F.substring(plain, 1, 10), "yyyy-MM-dd"))
+
+
+def utc_date(c: Column) -> Column:
+    """The date in UTC of an ISO date or date-time; without an offset it is taken as UTC. Null for all else."""
+    # the colons, minutes and seconds that ISO lets writers leave out, which the cast wants
+    clock = F.replace(F.replace(stripped(c), F.lit(" "), F.lit("T")), F.lit(","), F.lit("."))
+    for found, to in (
+        (r"(T.*[+-]\d{2})(\d{2})$", "$1:$2"), (r"^(.{10}T\d{2})(\d{2})", "$1:$2"), (r"^(.{10}T\d{2}:\d{2})(\d{2})", "$1:$2"),
+        (r"^(.{10}T\d{2})(?=Z|[+-]|$)", "$1:00"), (r"^(.{10}T\d{2}:\d{2})(?=Z|[+-]|$)", "$1:00"),
+    ):
+        clock = F.regexp_replace(clock, found, to)
+    return F.when(iso_date(c).isNotNull(), F.to_date(clock.try_cast("timestamp")))
+
+
+def leading_date(c: Column) -> Column:
+    """The date in a text's first ten characters, else its date in UTC."""
+    plain = stripped(c)
+    head = F.substring(plain, 1, 10)
+    return F.coalesce(F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.try_to_date(head, "yyyy-MM-dd")), utc_date(plain))
+
+
+def valid_until(day: Column, days: int) -> Column:
+    """The last day on which what was found on day is taken to hold."""
+    return F.date_add(day, days)
+
+
+def recency(c: Column, as_of: Column) -> Column:
+    """8, 6, 4 or 2 points up to 30, 180, 365 or 730 days before as_of; 0 before that and without a date. Later dates have no age."""
+    days = F.datediff(as_of, utc_date(c))
+    age = F.when(days.isNotNull(), F.greatest(F.lit(0), days))
+    return F.when(age <= 30, 8.0).when(age <= 180, 6.0).when(age <= 365, 4.0).when(age <= 730, 2.0).otherwise(0.0)
 
 
 def latest_date(c: Column) -> Column:
@@ -25,6 +65,12 @@ def snowflake_instant(ident: Column) -> Column:
     return F.timestamp_millis(F.shiftright(ident.cast("bigint"), 22) + F.lit(1288834974657))
 
 
+def status_url_instant(url: Column) -> Column:
+    """Instant of a post on X or Twitter by the snowflake id in its address; null for other addresses."""
+    ident = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)^https?://(?:[^/?#@]*@)?(?:www\.)?(?:x|twitter)\.com/[^?#]*?/status/(\d+)", 1)
+    return F.when(ident != "", F.timestamp_millis(F.shiftright(ident.try_cast("bigint"), 22) + F.lit(1288834974657)))
+
+
 def freshness(as_of: Column, window_days: Column, *dates: Column) -> tuple[Column, Column]:
     """status and age in days: of the first of dates that is a date, against the day as_of.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,16 +100,81 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9.\-]+", "-"), "^-+|-+$", "")
 
 
-def origin_key(url: Column, publisher: Column, row_id: Column) -> Column:
-    """Who stands behind a row: publisher, else the code repository, else the host, else the row itself."""
+def origin_key(url: Column, publisher: Column, row_id: Column, family: Column | None = None, organization: Column | None = None) -> Column:
+    """Who stands behind a row: its family, organization or publisher, else the code repository, else the host, else the row itself."""
     h, parts = host(url), F.filter(F.split(path(url), "/"), lambda p: p != "")
     repo = h.isin("github.com", "gitlab.com") & (F.size(parts) >= 2)
-    return (
-        F.when(filled(publisher) != "", F.concat(F.lit("publisher:"), slug(publisher)))
-        .when(repo, F.concat(F.lit("repo:"), h, F.lit("/"), slug(F.get(parts, F.lit(0))), F.lit("/"), slug(F.get(parts, F.lit(1)))))
-        .when(h != "", F.concat(F.lit("host:"), h))
-        .otherwise(F.concat(F.lit("row:"), slug(filled(row_id, F.lit("unknown")))))
-    )
+    named = [("family:", family), ("organization:", organization), ("publisher:", publisher)]
+    return F.coalesce(
+        *[F.when(filled(c) != "", F.concat(F.lit(label), slug(c))) for label, c in named if c is not None],
+        F.when(repo, F.concat(F.lit("repo:"), h, F.lit("/"), slug(F.get(parts, F.lit(0))), F.lit("/"), slug(F.get(parts, F.lit(1))))),
+        F.when(h != "", F.concat(F.lit("host:"), h)),
+        F.concat(F.lit("row:"), slug(filled(row_id, F.lit("unknown")))),
+    )
+
+
+def bare_netloc(url: Column) -> Column:
+    """The authority of a URL in lower case, with port, without a leading www."""
+    return F.regexp_replace(netloc(url), r"^www\.", "")
+
+
+def poster_key(url: Column, author: Column, publisher: Column) -> Column:
+    """Who stands behind a row of a target: on boards where people post, board and author, else the host, else the canonical URL."""
+    h, who = bare_netloc(url), F.regexp_replace(F.regexp_replace(F.lower(filled(author, publisher)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    board = h.isin("x.com", "twitter.com", "reddit.com") & (who != "")
+    return F.when(board, F.concat(h, F.lit(":"), who)).when(h != "", h).otherwise(canonical_resource(url))
+
+
+def family_key(url: Column, family: Column, publisher: Column, row_id: Column) -> Column:
+    """What a preview shows one row of: a family or publisher, else a host, else the row."""
+    name, h = F.lower(squeeze(filled(family, publisher))), bare_netloc(url)
+    return F.when(name != "", F.concat(F.lit("publisher:"), name)).when(h != "", F.concat(F.lit("host:"), h)).otherwise(F.concat(F.lit("row:"), row_id.cast("string")))
+
+
+_HOSTPORT = r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)(?::(\d*))?$"
+
+
+def public_url(url: Column) -> Column:
+    """Origin and path of a web address, without query, fragment and a default port; '' for other addresses and those with credentials."""
+    h, port = F.rtrim(F.regexp_extract(netloc(url), _HOSTPORT, 1), F.lit(".")), F.regexp_extract(netloc(url), _HOSTPORT, 2)
+    usual = ((scheme(url) == "http") & (port == "80")) | ((scheme(url) == "https") & (port == "443")) | (port == "")
+    named = F.concat(scheme(url), F.lit("://"), h, F.when(usual, "").otherwise(F.concat(F.lit(":"), port)))
+    usable = scheme(url).isin("http", "https") & (h != "") & ~F.contains(netloc(url), F.lit("@"))
+    return F.when(usable, F.concat(named, F.when(path(url) == "", "/").otherwise(path(url)))).otherwise("")
+
+
+def shown_url(url: Column) -> Column:
+    """A URL as warnings may show it: without credentials, query and fragment."""
+    h, port = F.regexp_extract(netloc(url), _HOSTPORT, 1), F.regexp_extract(netloc(url), _HOSTPORT, 2)
+    where = F.concat(h, F.when(port != "", F.concat(F.lit(":"), port)).otherwise(""))
+    return F.concat(F.when(scheme(url) != "", F.concat(scheme(url), F.lit(":"))).otherwise(""), F.when(where != "", F.concat(F.lit("//"), where)).otherwise(""), path(url))
+
+
+def quoted(c: Column) -> Column:
+    """A text as a value in a query string: blanks as '+', all but letters, digits and _.-~ in percent form."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+# Words that say nothing in a search for repositories.
+REPOSITORY_WORDS = r"(?i)\b(?:github|open source|repo|repositories)\b"
+
+
+def repository_query(c: Column) -> Column:
+    """A search without hash signs and the words of REPOSITORY_WORDS; as it was if nothing is left."""
+    left = squeeze(F.regexp_replace(F.regexp_replace(c, r"#(?=\w)", ""), REPOSITORY_WORDS, " "))
+    return F.when(left == "", c).otherwise(left)
+
+
+def with_terms(query: Column, *terms: str) -> Column:
+    """A query with those of the terms that it does not hold."""
+    flat = normal(query)
+    return F.trim(F.array_join(F.array_compact(F.array(query, *[F.when(~F.contains(flat, F.lit(" ".join(t.lower().split()))), F.lit(t)) for t in terms])), " "))
+
+
+def without_words(query: Column, words: tuple[str, ...]) -> Column:
+    """The words of a query but for those listed; as it was if nothing is left."""
+    kept = F.filter(F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(r"([\p{L}\p{N}_.+#\-]+)"), F.lit(1)), lambda w: ~F.lower(w).isin(*words))
+    return F.when(F.size(kept) == 0, query).otherwise(F.array_join(kept, " "))
 
 
 def found_urls(c: Column) -> Column:
@@ -116,6 +183,22 @@ def found_urls(c: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?]+$", "")))
 
 
+def linked_urls(c: Column) -> Column:
+    """(title, url) of the addresses in a text: Markdown links with their titles first, then bare ones titled by their host; each address once.
+
+    Full stops and commas at the end of an address do not belong to it.
+    """
+    text = F.coalesce(c, F.lit(""))
+    marked = F.regexp_extract_all(text, F.lit(r"(\[[^\]]+\]\(https?://[^\s)]+\))"), F.lit(1))
+    bare = F.regexp_extract_all(text, F.lit(r"(https?://[^\s<>\])]+)"), F.lit(1))
+    clean = lambda u: F.regexp_replace(u, r"[.,]+$", "")
+    titled = F.transform(marked, lambda m: F.struct(F.substring(squeeze(F.regexp_extract(m, r"^\[([^\]]+)\]", 1)), 1, 300).alias("title"), clean(F.regexp_extract(m, r"\]\((.*)\)$", 1)).alias("url")))
+    plain = F.transform(bare, lambda u: F.struct(F.regexp_extract(u, "^https?://([^/?#]*)", 1).alias("title"), clean(u).alias("url")))
+    every = F.filter(F.concat(titled, plain), lambda x: F.regexp_extract(x["url"], "^https?://([^/?#]+)", 1) != "")
+    order = F.array_distinct(F.transform(every, lambda x: x["url"]))
+    return F.transform(order, lambda u: F.struct(F.get(F.filter(every, lambda x: x["url"] == u), F.lit(0))["title"].alias("title"), u.alias("url")))
+
+
 def holds_term(text: Column, term: str) -> Column:
     """Whether a normalised text holds a term; terms of up to four ASCII characters only as whole words."""
     t = term.lower()
@@ -133,16 +216,20 @@ def compact(c: Column, most: int = 120) -> Column:
     return F.substring(squeeze(c), 1, most)
 
 
-def compared(c: Column) -> Column:
-    """The sides of a comparison ('a versus b', 'a vs. b', 'a compared to b'), without closing nouns; none if there is no comparison."""
-    parts = F.split(F.coalesce(c, F.lit("")), r"(?i)\s+(?:versus|vs\.?|compared\s+to)\s+")
-    bare = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(p, r"(?i)\s+(?:inference\s+engines?|frameworks?|projects?|repositories|comparison)\s*$", ""), r"^[ ,:;\-]+|[ ,:;\-]+$", ""))
-    return F.when(F.size(parts) >= 2, F.array_distinct(F.filter(bare, lambda p: p != ""))).otherwise(F.array().cast("array<string>"))
+def run_slug(c: Column) -> Column:
+    """Lower case, runs of other than letters and digits as '-', up to 64 characters; 'research-run' for nothing."""
+    return F.coalesce(F.nullif(F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 64), F.lit("")), F.lit("research-run"))
+
+
+def company_slug(c: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", "")
 
 
 def without_tags(c: Column) -> Column:
-    """A text without mark-up: tags become spaces, the common entities their characters."""
-    out = F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]*>", " ")
-    for entity, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(ch))
-    return squeeze(out)
+    """A text without mark-up: tags become spaces, character references their characters, white space single blanks.
+
+    Only texts with an ampersand go to Python.
+    """
+    bare = F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " ")
+    references = F.pandas_udf(lambda texts: texts.map(html.unescape, na_action="ignore"), "string")
+    return squeeze(F.coalesce(references(F.when(F.contains(bare, F.lit("&")), bare)), bare))

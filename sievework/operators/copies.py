@@ -36,19 +36,34 @@ def representatives(scored: DataFrame) -> DataFrame:
     return scored.groupBy("copy_key").agg(F.max_by("ordinal", F.struct("score", -F.col("ordinal"))).alias("ordinal"), F.max("score").alias("score"))
 
 
-def independent(rows: DataFrame, key: str, origin: str, content: str) -> DataFrame:
-    """Keys of the rows a greedy pass in the order of key accepts: a row is taken if no row taken before shares its origin or content.
+def independent(rows: DataFrame, key: str, origin: str, content: str, ident: str | None = None, within: str | None = None, excluded: DataFrame | None = None) -> DataFrame:
+    """The rows a greedy pass in the order of key accepts: a row is taken if no row taken before shares its origin, its content or its id.
 
-    In rounds: a row that is first among the open rows of both its origin and its content is taken, and all open rows
-    that share one of these with it are closed. Each round is two small aggregates and two joins over written tables.
+    ident: the column of ids; rows without an id are never taken. within: a column whose values have a pass each.
+    excluded: rows (within, ident, origin) whose ids and origins count as taken, though not their contents.
+
+    In rounds: a row that is first among the open rows of its origin, its content and its id is taken, and all open rows
+    that share one of these with it are closed. A round is a few small aggregates and joins over written tables; the
+    first row of each pass is taken in any round, and what it closes is gone. A hot origin or content is reduced to
+    one row by partial aggregates before it is joined.
     """
-    open_rows, taken = materialise(rows.select(key, origin, content), "open-rows"), None
+    w, names = [within] if within else [], [origin, content, *([ident] if ident else [])]
+    start = rows.select(*w, key, *names)
+    if ident:
+        start = start.where(F.coalesce(ident, F.lit("")) != "")
+    if excluded is not None:
+        for n in (ident, origin):
+            start = start.join(excluded.select(*w, n).distinct(), [*w, n], "left_anti")
+    open_rows, taken = materialise(start, "open-rows"), None
     while not open_rows.isEmpty():
-        by_origin = open_rows.groupBy(origin).agg(F.min(key).alias("a"))
-        by_content = open_rows.groupBy(content).agg(F.min(key).alias("b"))
-        won = materialise(open_rows.join(by_origin, origin).join(by_content, content).where(f"`{key}` = a and `{key}` = b").select(key, origin, content), "taken-rows")
+        first = open_rows
+        for n in names:
+            first = first.join(open_rows.groupBy(*w, n).agg(F.min(key).alias(f"__{n}")), [*w, n]).where(F.col(key) == F.col(f"__{n}")).drop(f"__{n}")
+        won = materialise(first.select(*w, key, *names), "taken-rows")
         taken = won if taken is None else taken.unionByName(won)
-        before = open_rows
-        open_rows = materialise(open_rows.join(won.select(origin), origin, "left_anti").join(won.select(content), content, "left_anti").select(key, origin, content), "open-rows")
+        left = open_rows
+        for n in names:
+            left = left.join(won.select(*w, n).distinct(), [*w, n], "left_anti")
+        before, open_rows = open_rows, materialise(left.select(*w, key, *names), "open-rows")
         discard(before)
-    return rows.select(key, origin, content).limit(0) if taken is None else taken
+    return rows.select(*w, key, *names).limit(0) if taken is None else taken

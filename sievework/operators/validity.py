@@ -30,22 +30,29 @@ PUBLISHED_NAMES = ("article:published_time", "date", "datepublished", "publicati
 UPDATED_NAMES = ("article:modified_time", "date_modified", "datemodified", "last-modified", "og:updated_time")
 
 
-def invalid_reasons(status: Column, content_type: Column, text: Column, url: Column) -> Column:
-    """Distinct reasons, in a fixed order, why a fetched body cannot be used; an empty array if it can. Null status and type pass."""
+def page_reasons(content_type: Column, text: Column, url: Column, extracted: Column | None = None, described: Column | None = None) -> list[Column]:
+    """What speaks against a fetched page, each a reason or null, in order: its type, blocks, login walls, captchas, too little text.
+
+    extracted: whether the text of a PDF was extracted; described: whether anything of the fetch is known, without which short texts pass.
+    """
     t, kind = normal(text), F.trim(F.substring_index(F.lower(F.coalesce(content_type, F.lit(""))), ";", 1))
     count = lambda marks: sum((F.when(F.contains(t, F.lit(m)), 1).otherwise(0) for m in marks), F.lit(0))
-    known = F.lit(False)
+    known = F.lit(False) if extracted is None else (kind == "application/pdf") & extracted
     for p in TEXT_TYPES:
         known |= F.startswith(kind, F.lit(p))
     wall = (F.arrays_overlap(F.split(F.lower(path(url)), "/"), F.array(*map(F.lit, LOGIN_PATHS))) & (count(LOGIN_PHRASES) > 0)) | (count(LOGIN_PHRASES) >= 2) | ((count(LOGIN_PHRASES) > 0) & (count(LOGIN_FIELDS) >= 3))
     captcha = (F.length(t) < 1000) & (F.contains(t, F.lit("complete the captcha")) | F.contains(t, F.lit("captcha challenge")))
-    each = [
-        F.when(status >= 400, F.concat(F.lit("http_status_"), status.cast("string"))),
+    short = F.length(t) < LEAST_CHARS if described is None else (F.length(t) < LEAST_CHARS) & described
+    return [
         F.when((kind != "") & ~known, F.concat(F.lit("unsupported_content_type_"), kind)),
         *[F.when(F.contains(t, F.lit(m)), r) for r, m in BLOCK_MARKS],
-        F.when(wall, "login_wall"), F.when(captcha, "captcha"), F.when(F.length(t) < LEAST_CHARS, "insufficient_text"),
+        F.when(wall, "login_wall"), F.when(captcha, "captcha"), F.when(short, "insufficient_text"),
     ]
-    return F.array_distinct(F.array_compact(F.array(*each)))
+
+
+def invalid_reasons(status: Column, content_type: Column, text: Column, url: Column) -> Column:
+    """Distinct reasons, in a fixed order, why a fetched body cannot be used; an empty array if it can. Null status and type pass."""
+    return F.array_distinct(F.array_compact(F.array(F.when(status >= 400, F.concat(F.lit("http_status_"), status.cast("string"))), *page_reasons(content_type, text, url))))
 
 
 class _Dates(HTMLParser):
@@ -101,23 +108,62 @@ def stated_dates(body: str) -> tuple[list[str], list[str], list[str], list[str],
     return published, p.found["meta"], p.found["time"], [v for d in docs for v in _walk(d, ("dateModified",))], p.found["updated_meta"]
 
 
-def page_dates(rows: DataFrame, key: str, body: str, native: str, url: str) -> DataFrame:
-    """key, published, source, confidence, updated: the first valid date by precedence.
+def _first(c: Column) -> Column:
+    return F.get(F.filter(F.transform(c, iso_date), lambda d: d.isNotNull()), F.lit(0))
 
-    Published: the connector's own, JSON-LD, meta elements, time elements, the URL. Updated: JSON-LD, meta elements.
-    """
-    kind = dict(rows.dtypes)[key]
-    names = ["j", "m", "t", "ju", "mu"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(k, n, u, *stated_dates(x or "")) for k, n, u, x in zip(b["key"], b["native"], b["url"], b["body"])], columns=[key, "native", "url", *names])
+def _best(options: list[tuple[Column, str, str]]) -> Column:
+    """The first date of (date, source, confidence) options, with its source and confidence."""
+    return F.coalesce(*[F.when(d.isNotNull(), F.struct(d.alias("day"), F.lit(s).alias("source"), F.lit(c).alias("confidence"))) for d, s, c in options])
+
+
+def table_date(tables: Column) -> Column:
+    """The latest date written in any cell of a page's tables (rows of cells)."""
+    return F.array_max(F.transform(F.flatten(F.flatten(tables)), latest_date))
+
 
-    found = rows.select(F.col(key).alias("key"), F.col(native).alias("native"), F.col(url).alias("url"), F.col(body).alias("body")).mapInPandas(run, f"`{key}` {kind}, native string, url string, " + ", ".join(f"{n} array<string>" for n in names))
-    first = lambda c: F.get(F.filter(F.transform(c, iso_date), lambda d: d.isNotNull()), F.lit(0))
-    options = [(iso_date(F.col("native")), "connector_native", "high"), (first("j"), "json_ld", "high"), (first("m"), "meta", "high"), (first("t"), "time_element", "medium"), (latest_date(F.col("url")), "url_pattern", "low")]
-    best = F.coalesce(*[F.when(d.isNotNull(), F.struct(d.alias("d"), F.lit(s).alias("s"), F.lit(c).alias("c"))) for d, s, c in options])
-    return found.select(key, best["d"].alias("published"), best["s"].alias("source"), best["c"].alias("confidence"), F.coalesce(first("ju"), first("mu")).alias("updated"))
+def page_dates(rows: DataFrame, key: str, body: str | None, url: str, published: list[str] = (), updated: list[str] = (), observed: list[str] = (), tables: str | None = None) -> DataFrame:
+    """key, and published, updated and observed as structs (day, source, confidence): the first valid date by precedence.
+
+    Published: the connector's own, JSON-LD, meta elements, time elements, the URL. Updated: own, JSON-LD, meta
+    elements. Observed: own, the latest date in a table. Columns of own dates are tried in the order given. Only
+    rows with a body go through the parser in Python; without a body column none do.
+    """
+    names = ["j", "m", "t", "ju", "mu"]
+    kept = rows
+    if body is not None:
+        kind = dict(rows.dtypes)[key]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame([(k, *stated_dates(x)) for k, x in zip(b["key"], b["body"])], columns=["__key", *names])
+
+        said = rows.where(F.col(body) != "").select(F.col(key).alias("key"), F.col(body).alias("body")).mapInPandas(run, f"__key {kind}, " + ", ".join(f"{n} array<string>" for n in names))
+        kept = rows.join(said, F.col(key) == F.col("__key"), "left")
+    else:
+        kept = rows.withColumns({n: F.lit(None).cast("array<string>") for n in names})
+    own = lambda cols: [(iso_date(F.col(c)), "connector_native", "high") for c in cols]
+    table = [(table_date(F.col(tables)), "table_observation", "medium")] if tables else []
+    none = [(F.lit(None).cast("date"), "", "")]
+    return kept.select(
+        key,
+        _best([*own(published), (_first(F.col("j")), "json_ld", "high"), (_first(F.col("m")), "html_meta", "high"), (_first(F.col("t")), "time_element", "medium"), (latest_date(F.col(url)), "url_pattern", "low")]).alias("published"),
+        _best([*own(updated), (_first(F.col("ju")), "json_ld", "high"), (_first(F.col("mu")), "html_meta", "high")]).alias("updated"),
+        _best([*own(observed), *table, *none]).alias("observed"),
+    )
+
+
+def with_freshness(dated: DataFrame, as_of: Column, window_days: Column) -> DataFrame:
+    """dated (as page_dates gives it) with date_field, date, age_days and status; the date is the observed one, else the published, else the updated.
+
+    Without a window 'not_applicable' and no date is looked for; without a date 'undated'; after as_of 'future_dated';
+    else 'fresh' up to and with the window's last day, then 'stale'.
+    """
+    which = F.coalesce(*[F.when(F.col(f"{n}.day").isNotNull(), F.struct(F.lit(f"{n}_at").alias("field"), F.col(f"{n}.day").alias("day"))) for n in ("observed", "published", "updated")])
+    out = dated.withColumn("__d", F.when(window_days.isNotNull(), which))
+    age = F.datediff(as_of, F.col("__d.day"))
+    status = F.when(window_days.isNull(), "not_applicable").when(age.isNull(), "undated").when(age < 0, "future_dated").when(age <= window_days, "fresh").otherwise("stale")
+    return out.withColumns({"date_field": F.col("__d.field"), "date": F.col("__d.day"), "age_days": age, "status": status}).drop("__d")
 
 
 def host_outcomes(rows: DataFrame, host: str, status: str) -> DataFrame:
@@ -127,12 +173,17 @@ def host_outcomes(rows: DataFrame, host: str, status: str) -> DataFrame:
     return agg.select("host", "n_rows", F.element_at(F.array(*map(F.lit, ("rate_limit", "robots_denied", "retry_exhausted", "ready"))), F.col("r")).alias("outcome"))
 
 
-# Words that make a key's value a secret.
-SECRET_KEYS = ("authorization", "auth", "cookie", "token", "secret", "password", "passwd", "apikey", "api_key", "credential", "session", "sessionid", "storage_state")
+# Names whose values are secret, as whole words of a name, as a whole name, as its beginning and as its end; and beginnings of names of the domain.
+SECRET_WORDS = ("apikey", "bearer", "cookie", "credential", "credentials", "csrftoken", "passwd", "password", "secret", "session", "sessionid", "sid", "token")
+SECRET_NAMES = (*SECRET_WORDS, "access_token", "api_key", "auth", "auth_token", "authorization", "csrf_token", "id_token", "refresh_token", "session_id", "storage_state", "xsrf_token")
+SECRET_STARTS = ("authorization_", "auth_header", "authentication_header")
+SECRET_ENDS = ("_api_key", "_apikey", "_auth", "_cookie", "_credential", "_credentials", "_password", "_secret", "_session", "_session_id", "_sessionid", "_sid", "_token")
+DOMAIN_STARTS = ("prior_authorization", "pre_authorization", "preauthorization")
 
 
 def secret_key(name: Column) -> Column:
-    """Whether a key names a secret: one of SECRET_KEYS is the key or one of its parts."""
-    parts = F.split(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), "_")
-    whole = F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_")
-    return F.arrays_overlap(parts, F.array(*map(F.lit, SECRET_KEYS))) | whole.isin(*SECRET_KEYS)
+    """Whether a key names a secret; prior authorizations are a matter of the domain unless the name ends as a secret's."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    at = lambda test, marks: plain.rlike(test.format("|".join(marks)))
+    named = plain.isin(*SECRET_NAMES) | at("^(?:{})", SECRET_STARTS) | F.arrays_overlap(F.split(plain, "_"), F.array(*map(F.lit, SECRET_WORDS)))
+    return at("(?:{})$", SECRET_ENDS) | (~at("^(?:{})", DOMAIN_STARTS) & named)

@@ -7,67 +7,22 @@ from pyspark.sql import functions as F
 
 from sievework.functions import dates, text
 from sievework.operators import claims, content, copies, execution, instants, relevance, rows, validity
+from sievework.plans.registry import KEYED as _KEYED
+from sievework.plans.registry import ORACLE, QUERIES, query
+from sievework.plans.registry import SP as _SP
+from sievework.plans.registry import base as _base
+from sievework.plans.registry import host as _host
+from sievework.plans.registry import normal as _normal
+from sievework.plans.registry import page as _page
+from sievework.plans.registry import part as _part
+from sievework.plans.registry import slug as _slug
+from sievework.plans.registry import squeeze as _squeeze
+from sievework.plans.registry import tokens as _tokens
 from sievework.plans.specs import CONFLICTS, ENTITIES, LABELS, SPECS
 from sievework.session import materialise, table
 
 FLAGSHIP = "representatives"
 
-#: White space, and the parts of an URL, in the dialect of the SQL side.
-_SP = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\p{Z}]+"
-_URL = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
-
-
-def _squeeze(c: str) -> str:
-    return f"trim(regexp_replace(coalesce({c}, ''), '{_SP}', ' ', 'g'))"
-
-
-def _normal(c: str) -> str:
-    return f"lower({_squeeze(c)})"
-
-
-def _part(c: str, i: int) -> str:
-    return f"regexp_extract(trim(coalesce({c}, '')), '{_URL}', {i})"
-
-
-def _base(c: str) -> str:
-    return f"(CASE WHEN {_part(c, 1)} <> '' THEN lower({_part(c, 1)}) || ':' ELSE '' END || CASE WHEN {_part(c, 2)} <> '' THEN '//' || lower({_part(c, 2)}) ELSE '' END)"
-
-
-def _page(c: str) -> str:
-    return f"({_base(c)} || regexp_replace({_part(c, 3)}, '/+$', ''))"
-
-
-def _host(c: str) -> str:
-    return rf"regexp_replace(regexp_replace(regexp_replace(lower({_part(c, 2)}), '^.*@', ''), ':.*$', ''), '^www\.', '')"
-
-
-def _slug(c: str) -> str:
-    return rf"regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9.\-]+', '-', 'g'), '^-+|-+$', '', 'g')"
-
-
-def _tokens(c: str) -> str:
-    return rf"list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9][a-z0-9.+#_\-]*'))"
-
-
-_KEY = f"""CASE WHEN coalesce(url, '') <> '' THEN 'url:' || {_page('url')}
- WHEN {_normal('title')} || '|' || left({_normal('text')}, 240) <> '|' THEN 'text:' || left(sha1({_normal('title')} || '|' || left({_normal('text')}, 240)), 16)
- ELSE 'row:' || lpad(ordinal::VARCHAR, greatest(4, length(ordinal::VARCHAR))::INTEGER, '0') END"""
-_KEYED = f"k AS (SELECT *, {_KEY} AS copy_key FROM false_positive_evidence)"
-
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "false_positive_evidence")
 
@@ -167,7 +122,11 @@ def origins(spark: SparkSession, d: str) -> DataFrame:
     return _evidence(spark, d).select("ordinal", text.origin_key(F.col("url"), F.col("publisher"), F.col("evidence_id")).alias("origin"))
 
 
-@query()
+@query(f"""WITH RECURSIVE l AS MATERIALIZED (SELECT ordinal, {_ORIGIN} AS origin, left(sha256({_normal('text')}), 16) AS content, row_number() OVER (ORDER BY ordinal) AS k FROM false_positive_evidence),
+ g AS (SELECT 0::BIGINT AS k, 0::BIGINT AS ordinal, ''::VARCHAR AS origin, []::VARCHAR[] AS origins, []::VARCHAR[] AS contents, false AS took
+  UNION ALL SELECT k, ordinal, origin, CASE WHEN took THEN list_append(origins, origin) ELSE origins END, CASE WHEN took THEN list_append(contents, content) ELSE contents END, took
+  FROM (SELECT l.*, g.origins, g.contents, NOT list_contains(g.origins, l.origin) AND NOT list_contains(g.contents, l.content) AS took FROM g JOIN l ON l.k = g.k + 1))
+SELECT ordinal, origin FROM g WHERE took""")
 def independent_rows(spark: SparkSession, d: str) -> DataFrame:
     r = _evidence(spark, d).select("ordinal", text.origin_key(F.col("url"), F.col("publisher"), F.col("evidence_id")).alias("origin"), F.substring(text.content_hash(F.col("text")), 1, 16).alias("content"))
     return copies.independent(r, "ordinal", "origin", "content").select("ordinal", "origin")
@@ -179,11 +138,9 @@ def source_concentration(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o").alias("n_origins")).withColumn("concentrated", (F.col("n_rows") >= 2) & (F.col("n_origins") == 1))
 
 
-_ISO = r"'^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d+)?)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?\z'"
-
-
 def _iso(c: str) -> str:
-    return f"CASE WHEN regexp_matches({c}, {_ISO}) THEN try_strptime(left({c}, 10), '%Y-%m-%d')::DATE END"
+    plain = rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+    return rf"CASE WHEN regexp_matches({plain}, '{dates.ISO[:-1]}\z') THEN try_strptime(left({plain}, 10), '%Y-%m-%d')::DATE END"
 
 
 @query(f"""SELECT ordinal, CASE WHEN window_days IS NULL THEN 'not_applicable' WHEN age IS NULL THEN 'undated' WHEN age < 0 THEN 'future_dated' WHEN age <= window_days THEN 'fresh' ELSE 'stale' END AS status,
@@ -193,11 +150,6 @@ def freshness_status(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "b1_rows").select("ordinal", status.alias("status"), age.cast("bigint").alias("age_days"))
 
 
-@query()
-def url_dates(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "fetched_pages").select("ordinal", dates.latest_date(F.col("url")).alias("in_url"), dates.latest_date(F.col("published_at")).alias("in_date_field"))
-
-
 @query("SELECT event_id, (event_id * 4194304 * 1000000 >> 22) + 1288834974657 AS made_ms FROM events")
 def snowflake_dates(spark: SparkSession, d: str) -> DataFrame:
     ident = F.col("event_id") * F.lit(4194304) * F.lit(1000000)
@@ -205,7 +157,7 @@ def snowflake_dates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return relevance.with_relevance(table(spark, d, "b4_results"), "topic", "title", "snippet", "host")
+    return relevance.with_relevance(table(spark, d, "b4_results"), F.col("topic"), F.col("title"), F.col("snippet"), F.col("host"), F.lit(None).cast("string"))
 
 
 _COV = "coalesce(round(len(list_intersect(q, {0})) / nullif(len(q), 0)::DOUBLE, 6), 0)"
@@ -276,18 +228,6 @@ def html_blocks(spark: SparkSession, d: str) -> DataFrame:
     return content.html_blocks(table(spark, d, "adversarial_rows"), "ordinal", "body")
 
 
-@query()
-def page_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return content.chunks(table(spark, d, "fetched_pages"), "ordinal", "content_blocks").select("ordinal", "chunk_index", "heading", "chunk_id", F.length("text").alias("n_chars"))
-
-
-@query()
-def analysis_rows(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "fetched_pages").select("ordinal", F.lit(None).cast("int").alias("chunk_index"), F.length("text").alias("n_chars"))
-    parts = content.chunks(table(spark, d, "fetched_pages"), "ordinal", "content_blocks").select("ordinal", "chunk_index", F.length("text").alias("n_chars"))
-    return rows.substitute(pages, parts, "ordinal", "ordinal")
-
-
 _B = f"trim(regexp_replace(lower(replace(coalesce(body, ''), '…', ' ')), '{_SP}', ' ', 'g'))"
 
 
@@ -359,14 +299,6 @@ def written_urls(spark: SparkSession, d: str) -> DataFrame:
     return _evidence(spark, d).select("ordinal", F.posexplode(text.found_urls(F.col("text"))).alias("position", "found_url")).withColumn("position", F.col("position").cast("bigint"))
 
 
-@query("""SELECT p_partkey, adoption, row_number() OVER (ORDER BY adoption DESC, p_partkey) AS engine_rank
-FROM (SELECT p_partkey, round(least(24, 4 * log10(p_retailprice + 1)) + least(6, 2 * log10(p_size + 1)), 6) AS adoption FROM part)""")
-def repository_rank(spark: SparkSession, d: str) -> DataFrame:
-    a = F.round(F.least(F.lit(24.0), 4 * F.log10(F.col("p_retailprice") + 1)) + F.least(F.lit(6.0), 2 * F.log10(F.col("p_size") + 1)), 6)
-    scored = table(spark, d, "part").select("p_partkey", a.alias("adoption")).withColumn("down", -F.col("adoption"))
-    return rows.with_position(scored, ["down", "p_partkey"], "engine_rank").drop("down")
-
-
 @query()
 def progress_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return execution.fingerprint(_evidence(spark, d), [text.canonical_page(F.col("url")), text.content_hash(F.col("text"))])
@@ -401,8 +333,7 @@ def _sql_reasons() -> str:
         f"CASE WHEN (list_has_any(string_split(lower({_part('url', 3)}), '/'), [{paths}]) AND {p} > 0) OR {p} >= 2 OR ({p} > 0 AND {f} >= 3) THEN 'login_wall' END",
         "CASE WHEN length(t) < 1000 AND (contains(t, 'complete the captcha') OR contains(t, 'captcha challenge')) THEN 'captcha' END", f"CASE WHEN length(t) < {validity.LEAST_CHARS} THEN 'insufficient_text' END",
     ]
-    # no reason has two marks that both hold in one text here, so the concatenation has no repeats
-    return f"SELECT ordinal, concat_ws('|', {', '.join(each)}) AS reasons FROM (SELECT *, {t} AS t, {kind} AS kind FROM adversarial_rows)"
+    return f"SELECT ordinal, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS reasons FROM (SELECT ordinal, list_filter([{', '.join(each)}], lambda x: x IS NOT NULL) AS l FROM (SELECT *, {t} AS t, {kind} AS kind FROM adversarial_rows))"
 
 
 @query(_sql_reasons())
@@ -417,12 +348,6 @@ def host_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return validity.host_outcomes(table(spark, d, "fetched_pages"), "host", "network_status")
 
 
-@query()
-def page_dates(spark: SparkSession, d: str) -> DataFrame:
-    rows_ = table(spark, d, "adversarial_rows").withColumn("native", F.lit(None).cast("string"))
-    return validity.page_dates(rows_, "ordinal", "body", "native", "url")
-
-
 @query("SELECT evidence_id, max(ordinal) AS ordinal, arg_max(source_id, ordinal) AS source_id FROM false_positive_evidence GROUP BY 1")
 def last_delivery(spark: SparkSession, d: str) -> DataFrame:
     r = _evidence(spark, d).groupBy("evidence_id").agg(F.max_by(F.struct("ordinal", "source_id"), "ordinal").alias("r"))
@@ -446,3 +371,6 @@ def next_candidates(spark: SparkSession, d: str) -> DataFrame:
     first = table(spark, d, "b4_results").where("url is not null").select("topic", "ordinal", "result_rank", page).groupBy("topic", "page_url").agg(F.min(F.struct("result_rank", "ordinal")).alias("r"))
     n = F.row_number().over(Window.partitionBy("topic").orderBy("result_rank", "ordinal"))
     return first.select("topic", "r.ordinal", "r.result_rank", "page_url").withColumn("position", n).where("position <= 10").drop("result_rank")
+
+
+from sievework.plans import evidence as _evidence_queries, pages as _page_queries, records as _record_queries  # noqa: E402, F401  register their queries

@@ -18,3 +18,14 @@ LABELS = {
     "work": ("hiring plans", "salary bands", "remote roles", "job boards", "jd"),
     "evidence": ("claim review", "evidence scoring", "duplicate handling", "source diversity"),
 }
+# Both sides of each claim, nodes of the matrix with side and least number of rows, and names by side.
+CLAIMS = {
+    "prices_up": (("accelerated", "doubled", "rebounded"), ("slipped", "weakened", "stalled")),
+    "supply_short": (("memory contracts", "wafer starts"), ("inventory days",)),
+    "unheard": (("a phrase that no row holds",), ("another such phrase",)),
+}
+MATRIX = {
+    "serving_demand": ("demand", ("model serving", "inference capacity"), 3), "hiring_demand": ("demand", ("hiring plans", "open positions"), 2),
+    "wafer_limit": ("constraint", ("wafer starts",), 0), "power_limit": ("constraint", ("a phrase that no row holds",), 1), "pricing": ("supply", ("spot pricing",), 100000000),
+}
+SIDES = {"demand": ("Galnar", "Nelopa", "Rusmor"), "supply": ("Wilprydre", "Kelzor", "nobody at all")}

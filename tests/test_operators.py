@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -32,7 +33,7 @@ def test_tokens_and_white_space(spark):
 def test_dates(spark):
     vals = ["2026-07-01", "2026-07-01T23:30:00-08:00", "20260701", "2026/07/01", "2026-02-30", "", None, "2026-07-01\n"]
     got = [r[0] and str(r[0]) for r in spark.createDataFrame([(v,) for v in vals], "v string").select(dates.iso_date(F.col("v"))).collect()]
-    assert got == ["2026-07-01", "2026-07-01", None, None, None, None, None, None]
+    assert got == ["2026-07-01", "2026-07-01", None, None, None, None, None, "2026-07-01"]  # white space around a date is no part of it
     u = ["/2024/01/05/x-20250203", "/120240105/", "2024-13-01", None]
     assert [r[0] and str(r[0]) for r in spark.createDataFrame([(v,) for v in u], "v string").select(dates.latest_date(F.col("v"))).collect()] == ["2025-02-03", None, None, None]
     s, a = dates.freshness(F.col("d"), F.col("w"), F.col("o"), F.col("p"))
@@ -78,7 +79,7 @@ def test_clusters_hot_key_nulls_and_ties(spark):
 def test_relevance_preview_and_coverage(spark):
     data = [(0, "gpu supply", "GPU supply", "text", "h1"), (1, "gpu supply", "gpu", "", "h1"), (2, "gpu supply", None, None, None), (3, "", "x", "y", "h2"), (4, "gpu supply", "supply", "gpu", "h3")]
     df = spark.createDataFrame(data, "ordinal bigint, q string, t string, b string, e string")
-    s = relevance.with_relevance(df, "q", "t", "b", "e")
+    s = relevance.with_relevance(df, F.col("q"), F.col("t"), F.col("b"), F.col("e"), F.lit(None).cast("string"))
     assert [r["relevance"] for r in s.orderBy("ordinal").collect()] == [0.45, 0.225, 0.0, 0.0, 0.4]
     assert [r["ordinal"] for r in relevance.preview(s, "q", "e").orderBy("rank").collect()] == [0, 4]
     assert {r["q"]: r["status"] for r in relevance.facet_coverage(s, "q").collect()} == {"gpu supply": "covered", "": "missing"}
@@ -92,12 +93,68 @@ def test_claims_and_conflicts(spark):
 
 
 def test_html_blocks_and_void_quirk():
-    doc = "<nav>menu</nav><h1>Title</h1><p>One <b>two<br>three</p><table><tr><td>a</td><td>b</td></tr></table><form><input></form><p>after</p>"
+    doc = "<nav>menu</nav><h1>Title</h1><p>One <b>two<br>three</b></p><table>out<tr><td>a</td><td>b</td></tr><tr><td> </td></tr></table><form><input></form><p>after</p>"
     assert content.parse_blocks(doc, strict_void=True) == [("Title", "Title"), ("Title", "One two three"), ("Title", "a | b"), ("Title", "after")]
     assert content.parse_blocks(doc) == [("Title", "Title"), ("Title", "One two three"), ("Title", "a | b")]
     assert content.parse_blocks("") == [] and content.parse_blocks("<" * 1000)
 
 
+def test_inline_tags_part_words_and_tables_have_limits():
+    assert content.parse_blocks("<p>a<b>b</b>c</p>") == [("", "a b c")]
+    assert content.parse_blocks("<tr><td>no table</td></tr>") == [("", "no table")]
+    cell = "<td>" + "x" * 600 + "</td>"
+    blocks, tables = content.parse_html("<table>" + f"<tr>{cell * 25}</tr>" * 60 + "</table><table><tr><td></td></tr></table>")
+    assert len(tables) == 1 and len(tables[0]) == 50 and {len(r) for r in tables[0]} == {20} and len(tables[0][0][0]) == 500 and len(blocks) == 50
+    assert content.parse_html("<table><tr><td>lost</td></tr>")[1] == []
+
+
+def test_extraction_by_media_type(spark):
+    rows = [
+        (1, b"<h2>H</h2><p>t</p>", "Text/HTML; charset=utf-8"), (2, b'{"b": [1, {"c": null}], "a": {"x": "y"}}', "application/ld+json"), (3, b"{bad", "application/json"), (4, b"a\n \nb", "text/plain"),
+        (5, b"%PDF", "application/pdf"), (6, b"x", "image/png"), (7, None, "text/plain"), (8, b"x" * 2_000_001, "text/csv"), (9, b"<p></p>", None),
+    ]
+    df = spark.createDataFrame(rows, "k bigint, b binary, t string")
+    got = {r["k"]: (r["text"] if r["k"] != 8 else len(r["text"]), r["valid"], r["reasons"], r["warnings"]) for r in content.extracted(df, "k", "b", "t").collect()}
+    assert got == {
+        1: ("H\nt", True, [], []), 2: ("b[0]: 1\nb[1].c: None\na.x: y", True, [], []), 3: ("", False, ["json_extraction_failed"], []), 4: ("a\nb", True, [], []), 5: ("", False, ["pdf_extractor_unavailable"], []),
+        6: ("", False, ["unsupported_content_type"], []), 7: ("", False, ["empty_content"], []), 8: (2_000_000, True, [], ["content_truncated"]), 9: ("", False, ["unsupported_content_type"], []),
+    }
+    assert content.extract(b"%PDF", "application/pdf", lambda data: " page \n one ")[1] == "page one"
+    assert content.extract(b"%PDF", "application/pdf", lambda data: 1 / 0)[5] == ["pdf_extraction_failed"]
+    assert len(content.flat_json(list(range(500)))) == 200
+
+
+def test_sanitation(spark):
+    doc = {"title": "ok", "session_id": "s", "prior_authorization": "kept", "deep": [{"api_key": "k", "note": "token=abc1"}], "argv": ["/usr/bin/tool", "--token", "abc", "--password=xyz", "-v"]}
+    df = spark.createDataFrame([(json.dumps(doc),), ("{bad",), (None,)], "d string")
+    got = [r["s"] for r in df.select(content.sanitized(F.col("d")).alias("s")).collect()]
+    assert json.loads(got[0]["clean"]) == {"title": "ok", "prior_authorization": "kept", "deep": [{"note": "token=[REDACTED]"}], "argv": ["tool", "--token", "[REDACTED]", "--password=[REDACTED]", "-v"]}
+    assert got[0]["paths"] == ["argv[3]", "deep[0].api_key", "deep[0].note", "session_id"]
+    assert all(x is None or (x["clean"] is None and x["paths"] is None) for x in got[1:])
+
+
+def test_rows_for_analysis(spark):
+    df = spark.createDataFrame([("p1", "T", [("H", "a" * 30), ("I", "b" * 30)], "old", 7), ("p2", None, [], "kept", 8), ("p3", "U", None, None, 9)], "id string, title string, b array<struct<heading string, text string>>, text string, extra int")
+    got = [tuple(r[c] for c in ("parent_id", "chunk_index", "title", "text", "is_chunk", "extra")) for r in content.chunk_rows(df, "id", "title", "b", "text", 40).orderBy("extra", "chunk_index").collect()]
+    assert got == [("p1", 1, "T — H", "a" * 30, True, 7), ("p1", 2, "T — I", "b" * 30, True, 7), (None, None, None, "kept", False, 8), (None, None, "U", None, False, 9)]
+
+
+def test_chains_with_exclusions(spark):
+    rows = [(1, "a", "s", "o1", "c1"), (2, "b", "s", "o1", "c2"), (3, "", "s", "o2", "c3"), (4, "d", "s", "o3", "c1"), (5, "a", "n", "o9", "c9"), (6, "e", "n", "o1", "c8"), (7, "f", "n", "o7", "c1"), (8, None, "n", "o8", "c7")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "k bigint, id string, side string, o string, c string, claim string")
+    support = copies.independent(df.where("side = 's'"), "k", "o", "c", "id", "claim")
+    oppose = copies.independent(df.where("side = 'n'"), "k", "o", "c", "id", "claim", support)
+    assert [r["k"] for r in support.orderBy("k").collect()] == [1] and [r["k"] for r in oppose.orderBy("k").collect()] == [7]
+    got = claims.chain_stances(support, oppose, spark.createDataFrame([("x",), ("y",)], "claim string"))
+    assert sorted(tuple(r) for r in got.collect()) == [("x", 1, 1, "conflicted", "medium"), ("y", 0, 0, "needs_more_evidence", "low")]
+
+
+def test_first_values_of_a_hot_key(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"), "id")
+    got = {r["key"]: (r["n"], r["values"]) for r in claims.first_values(df, ["key"], "id", "id", 12).where("key = 'hot' or key = '1'").collect()}
+    assert got == {"hot": (6667, list(range(0, 36, 3))), "1": (1, [1])}
+
+
 def packed(blocks, most):
     out = []
     for h, t in blocks:

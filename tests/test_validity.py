@@ -2,7 +2,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from sievework.functions import text
+from sievework.functions import dates, text
 from sievework.operators import validity
 
 
@@ -25,15 +25,39 @@ def test_page_dates_by_precedence(spark):
         (4, '<meta name="date" content="nonsense"><time datetime="2026-01-01">x</time>', None, "/2025/01/01/"), (5, "", None, "https://a.example/2025/01/02/x"), (6, None, None, None),
     ]
     df = spark.createDataFrame(rows, "k bigint, body string, native string, url string")
-    got = {r["k"]: (r["published"], r["source"], r["updated"]) for r in validity.page_dates(df, "k", "body", "native", "url").collect()}
+    none = (None, None)
+    pair = lambda x: (x["day"], x["source"]) if x else none
+    got = {r["k"]: (*pair(r["published"]), r["updated"] and r["updated"]["day"]) for r in validity.page_dates(df, "k", "body", "url", ["native"]).collect()}
     day = datetime.date
     assert got == {
-        1: (day(2026, 5, 5), "connector_native", day(2026, 4, 1)), 2: (day(2026, 3, 1), "json_ld", day(2026, 4, 1)), 3: (day(2026, 2, 2), "meta", day(2026, 2, 3)),
+        1: (day(2026, 5, 5), "connector_native", day(2026, 4, 1)), 2: (day(2026, 3, 1), "json_ld", day(2026, 4, 1)), 3: (day(2026, 2, 2), "html_meta", day(2026, 2, 3)),
         4: (day(2026, 1, 1), "time_element", None), 5: (day(2025, 1, 2), "url_pattern", None), 6: (None, None, None),
     }
 
 
+def test_observed_dates_and_freshness(spark):
+    rows = [(1, "2026-01-05", None, None, [[["x", "until 2026/02/03"], ["20260301", None]]], 30), (2, "2026-01-05", "2026-03-30", None, None, 30), (3, None, None, "2026-04-01T23:00:00-0500", None, 30), (4, None, None, None, None, 30), (5, "2027-01-01", None, None, None, 30), (6, "2026-01-05", None, None, None, None)]
+    df = spark.createDataFrame(rows, "k bigint, p string, o string, u string, t array<array<array<string>>>, w int").withColumn("url", F.lit(""))
+    dated = validity.page_dates(df, "k", None, "url", ["p"], ["u"], ["o"], "t").join(df.select("k", "w"), "k")
+    got = {r["k"]: (r["date_field"], r["age_days"], r["status"]) for r in validity.with_freshness(dated, F.lit("2026-03-31").cast("date"), F.col("w")).collect()}
+    assert got == {1: ("observed_at", 30, "fresh"), 2: ("observed_at", 1, "fresh"), 3: ("updated_at", -1, "future_dated"), 4: (None, None, "undated"), 5: ("published_at", -276, "future_dated"), 6: (None, None, "not_applicable")}
+
+
+def test_written_forms_of_dates(spark):
+    cases = [("2026-01-05T23:30-0500", "2026-01-05", "2026-01-06"), ("2026-01-05 0130Z", "2026-01-05", "2026-01-05"), ("2026-01-05T01+03:00", "2026-01-05", "2026-01-04"), (" 2026-01-05\n", "2026-01-05", "2026-01-05"), ("2026-02-30", None, None), ("2026-01-05T25:00", None, None), ("5/1/2026", None, None), ("", None, None), (None, None, None)]
+    df = spark.createDataFrame([(c[0],) for c in cases], "t string")
+    got = df.select(dates.iso_date(F.col("t")).cast("string"), dates.utc_date(F.col("t")).cast("string"), dates.recency(F.col("t"), F.lit("2026-02-01").cast("date"))).collect()
+    assert [tuple(r) for r in got] == [(*c[1:], 8.0 if c[1] else 0.0) for c in cases]
+
+
 def test_text_helpers(spark):
-    df = spark.createDataFrame([("llm A vs. llm B frameworks", "access-token", "<p>a &amp; b</p>"), ("one topic", "monkey", None)], "c string, k string, h string")
-    got = df.select(text.compared(F.col("c")), validity.secret_key(F.col("k")), text.without_tags(F.col("h")), text.facet_slug(F.col("c"))).collect()
-    assert [list(r) for r in got] == [[["llm A", "llm B"], True, "a & b", "llm_a_vs_llm_b_frameworks"], [[], False, "", "one_topic"]]
+    df = spark.createDataFrame([("llm A vs. llm B", "access-token", "<p>a &amp; b&eacute;</p>"), ("one topic", "monkey", None)], "c string, k string, h string")
+    got = df.select(validity.secret_key(F.col("k")), text.without_tags(F.col("h")), text.facet_slug(F.col("c"))).collect()
+    assert [list(r) for r in got] == [[True, "a & bé", "llm_a_vs_llm_b"], [False, "", "one_topic"]]
+
+
+def test_addresses_that_may_be_shown(spark):
+    cases = {"https://U:p@A.example/x?q=1": ("", "https://a.example/x"), "HTTP://A.example.:80": ("http://a.example/", "http://a.example."), "https://a.example:8443/p#f": ("https://a.example:8443/p", "https://a.example:8443/p"), "ftp://a.example/": ("", "ftp://a.example/"), "": ("", "")}
+    df = spark.createDataFrame([(u,) for u in cases], "u string")
+    got = {r[0]: tuple(r[1:]) for r in df.select("u", text.public_url(F.col("u")), F.regexp_replace(text.shown_url(F.col("u")), ":80$", "")).collect()}
+    assert got == cases
