@@ -129,7 +129,7 @@ def page_dates(rows: DataFrame, key: str, body: str | None, url: str, published:
     elements. Observed: own, the latest date in a table. Columns of own dates are tried in the order given. Only
     rows with a body go through the parser in Python; without a body column none do.
     """
-    names = ["j", "m", "t", "ju", "mu"]
+    names = ["__j", "__m", "__t", "__ju", "__mu"]
     kept = rows
     if body is not None:
         kind = dict(rows.dtypes)[key]
@@ -147,8 +147,8 @@ def page_dates(rows: DataFrame, key: str, body: str | None, url: str, published:
     none = [(F.lit(None).cast("date"), "", "")]
     return kept.select(
         key,
-        _best([*own(published), (_first(F.col("j")), "json_ld", "high"), (_first(F.col("m")), "html_meta", "high"), (_first(F.col("t")), "time_element", "medium"), (latest_date(F.col(url)), "url_pattern", "low")]).alias("published"),
-        _best([*own(updated), (_first(F.col("ju")), "json_ld", "high"), (_first(F.col("mu")), "html_meta", "high")]).alias("updated"),
+        _best([*own(published), (_first(F.col("__j")), "json_ld", "high"), (_first(F.col("__m")), "html_meta", "high"), (_first(F.col("__t")), "time_element", "medium"), (latest_date(F.col(url)), "url_pattern", "low")]).alias("published"),
+        _best([*own(updated), (_first(F.col("__ju")), "json_ld", "high"), (_first(F.col("__mu")), "html_meta", "high")]).alias("updated"),
         _best([*own(observed), *table, *none]).alias("observed"),
     )
 
