@@ -12,9 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievework.functions.text import copy_key, filled, normal
+from sievework.operators import validity
 from sievework.operators.claims import any_term, first_values
 from sievework.operators.rows import with_position
-from sievework.operators.validity import page_reasons
 
 # Connectors by reliability, adjustments by confidence (both in hundredths), words of authoritative kinds,
 # and what marks rows that only point to content.
@@ -42,8 +42,11 @@ def _url(rows: DataFrame) -> Column:
     return filled(optional(rows, "url"), optional(rows, "source_url"))
 
 
-def invalid_reasons(rows: DataFrame) -> Column:
-    """Distinct reasons in their order why a row cannot support claims: carried ones, flags, the status, and for fetched pages what they hold."""
+def with_reasons(rows: DataFrame, into: str = "content_invalid_reasons") -> DataFrame:
+    """rows with the distinct reasons in their order why each cannot support claims: carried ones, flags, the status, and for fetched pages what they hold.
+
+    The normalised text of fetched pages is a column of a projection below, so that it is made once and not for each mark.
+    """
     carried = F.filter(F.coalesce(optional(rows, "content_invalid_reasons", "array<string>"), F.array().cast("array<string>")), lambda r: F.coalesce(r, F.lit("")) != "")
     none = F.size(carried) == 0
     flagged = F.coalesce(optional(rows, "content_invalid", "boolean"), F.lit(False)) | ~F.coalesce(optional(rows, "content_valid", "boolean"), F.lit(True))
@@ -55,13 +58,14 @@ def invalid_reasons(rows: DataFrame) -> Column:
     for name in ("http_status", "content_type", "final_url", "access_blocked"):
         described |= optional(rows, name).isNotNull()
     pdf = F.coalesce(optional(rows, "extracted_content", "boolean"), F.lit(False))
-    page = page_reasons(optional(rows, "content_type"), _text(rows), filled(optional(rows, "final_url"), _url(rows)), pdf, described)
+    seen = rows.withColumns({"__t": F.when(fetched, normal(_text(rows))), "__k": validity.media_type(optional(rows, "content_type"))})
+    page = validity.page_reasons(F.col("__k"), F.col("__t"), filled(optional(rows, "final_url"), _url(rows)), pdf, described)
     own = [
         F.when(none & flagged, "explicit_invalid").when(none & blocked, "access_blocked"),
         F.when(number >= 400, F.concat(F.lit("http_status_"), number.cast("string"))).when(status.isNotNull() & number.isNull(), "invalid_http_status"),
-        *[F.when(fetched, r) for r in page],
     ]
-    return F.array_distinct(F.concat(carried, F.array_compact(F.array(*own))))
+    held = F.when(F.col("__t").isNotNull(), F.array_compact(F.array(*page))).otherwise(F.array().cast("array<string>"))
+    return seen.withColumn(into, F.array_distinct(F.concat(carried, F.array_compact(F.array(*own)), held))).drop("__t", "__k")
 
 
 def claim_eligible(rows: DataFrame, reasons: Column) -> Column:
@@ -107,7 +111,7 @@ def with_quality(rows: DataFrame, position: str) -> DataFrame:
     Scores are added in whole hundredths and bounded by 0 and 1; invalid rows have 0. The reasons are found once, in a
     projection of their own, as all else depends on them.
     """
-    known = rows.withColumn("__reasons", invalid_reasons(rows)).withColumn("__signals", F.array(*_each_signal(rows)))
+    known = with_reasons(rows, "__reasons").withColumn("__signals", F.array(*_each_signal(rows)))
     reasons, valid = F.col("__reasons"), F.size("__reasons") == 0
     total = F.aggregate("__signals", F.lit(50), lambda n, s: n + s["n"])
     score = F.when(valid, F.greatest(F.lit(0), F.least(F.lit(100), total)) / 100).otherwise(0.0)

@@ -13,20 +13,22 @@ from sievework.session import materialise
 def with_position(rows: DataFrame, order: list[str], into: str) -> DataFrame:
     """rows with their position from 1 in the order of the columns order.
 
-    Rows are range-partitioned and written once; each partition numbers its own rows and starts where the ones
-    before it end, so no task sees all rows. order should tell all rows apart; ties are numbered in any order.
+    Rows are range-partitioned, sorted and numbered inside their partition, and written once; each partition starts
+    where the ones before it end. One shuffle, and no task sees all rows. order should tell all rows apart; ties are
+    numbered in any order.
     """
-    parts = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    kept = materialise(parts, "positions")
-    sizes = kept.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each partition
-    starts, total = {}, 0
-    for r in sorted(sizes, key=lambda r: r["__part"]):
-        starts[r["__part"]] = total
+    inside = F.lit((1 << 33) - 1)  # Spark's ids hold the partition above 33 bits that count its rows
+    kept = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "positions")
+    part = F.shiftright("__id", 33)
+    sizes = kept.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each partition
+    starts, total = [], 0
+    for r in sorted(sizes, key=lambda r: r["p"]):
+        starts.append((r["p"], total))
         total += r["n"]
     # as many rows as there are partitions
-    start = rows.sparkSession.createDataFrame(list(starts.items()), "__part int, __start bigint")
-    n = F.row_number().over(W.partitionBy("__part").orderBy(*order)) + F.col("__start")
-    return kept.join(F.broadcast(start), "__part").withColumn(into, n.cast("bigint")).drop("__part", "__start")
+    start = rows.sparkSession.createDataFrame(starts, "__part bigint, __start bigint")
+    n = F.col("__id").bitwiseAND(inside) + 1 + F.col("__start")
+    return kept.join(F.broadcast(start), part == F.col("__part")).withColumn(into, n).drop("__id", "__part", "__start")
 
 
 def normalise(rows: DataFrame) -> DataFrame:

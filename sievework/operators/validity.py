@@ -30,12 +30,16 @@ PUBLISHED_NAMES = ("article:published_time", "date", "datepublished", "publicati
 UPDATED_NAMES = ("article:modified_time", "date_modified", "datemodified", "last-modified", "og:updated_time")
 
 
-def page_reasons(content_type: Column, text: Column, url: Column, extracted: Column | None = None, described: Column | None = None) -> list[Column]:
+def media_type(content_type: Column) -> Column:
+    return F.trim(F.substring_index(F.lower(F.coalesce(content_type, F.lit(""))), ";", 1))
+
+
+def page_reasons(kind: Column, t: Column, url: Column, extracted: Column | None = None, described: Column | None = None) -> list[Column]:
     """What speaks against a fetched page, each a reason or null, in order: its type, blocks, login walls, captchas, too little text.
 
+    kind: the media type; t: the normalised text, a column of its own, as it is looked at many times.
     extracted: whether the text of a PDF was extracted; described: whether anything of the fetch is known, without which short texts pass.
     """
-    t, kind = normal(text), F.trim(F.substring_index(F.lower(F.coalesce(content_type, F.lit(""))), ";", 1))
     count = lambda marks: sum((F.when(F.contains(t, F.lit(m)), 1).otherwise(0) for m in marks), F.lit(0))
     known = F.lit(False) if extracted is None else (kind == "application/pdf") & extracted
     for p in TEXT_TYPES:
@@ -50,9 +54,11 @@ def page_reasons(content_type: Column, text: Column, url: Column, extracted: Col
     ]
 
 
-def invalid_reasons(status: Column, content_type: Column, text: Column, url: Column) -> Column:
-    """Distinct reasons, in a fixed order, why a fetched body cannot be used; an empty array if it can. Null status and type pass."""
-    return F.array_distinct(F.array_compact(F.array(F.when(status >= 400, F.concat(F.lit("http_status_"), status.cast("string"))), *page_reasons(content_type, text, url))))
+def with_reasons(rows: DataFrame, status: str, content_type: str, text: str, url: str) -> DataFrame:
+    """rows with reasons: distinct ones, in a fixed order, why a fetched body cannot be used; empty if it can. Null status and type pass."""
+    seen = rows.withColumns({"__t": normal(F.col(text)), "__k": media_type(F.col(content_type))})
+    bad = F.when(F.col(status) >= 400, F.concat(F.lit("http_status_"), F.col(status).cast("string")))
+    return seen.withColumn("reasons", F.array_distinct(F.array_compact(F.array(bad, *page_reasons(F.col("__k"), F.col("__t"), F.col(url)))))).drop("__t", "__k")
 
 
 class _Dates(HTMLParser):

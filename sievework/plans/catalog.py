@@ -338,8 +338,8 @@ def _sql_reasons() -> str:
 
 @query(_sql_reasons())
 def invalid_reasons(spark: SparkSession, d: str) -> DataFrame:
-    r = validity.invalid_reasons(F.col("status"), F.col("content_type"), F.col("body"), F.col("url"))
-    return table(spark, d, "adversarial_rows").select("ordinal", F.array_join(r, "|").alias("reasons"))
+    r = validity.with_reasons(table(spark, d, "adversarial_rows"), "status", "content_type", "body", "url")
+    return r.select("ordinal", F.array_join("reasons", "|").alias("reasons"))
 
 
 @query("""SELECT host, count(*) AS n_rows, CASE min(CASE network_status WHEN 'rate_limit' THEN 1 WHEN 'robots_denied' THEN 2 WHEN 'retry_exhausted' THEN 3 ELSE 4 END)

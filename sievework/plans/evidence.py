@@ -82,8 +82,7 @@ def enriched(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_REASONED} SELECT position, array_to_string(reasons, '|') AS reasons FROM r")
 def evidence_reasons(spark: SparkSession, d: str) -> DataFrame:
-    e = evidence(spark, d)
-    return e.select("position", F.array_join(quality.invalid_reasons(e), "|").alias("reasons"))
+    return quality.with_reasons(evidence(spark, d)).select("position", F.array_join("content_invalid_reasons", "|").alias("reasons"))
 
 
 @query(f"""WITH {_QUALITY} SELECT position, valid AS content_valid, claim_eligible, hundredths / 100.0 AS quality_score, quality_tier,
@@ -154,9 +153,13 @@ _MAP_TEXT = "lower(concat_ws(' ', title, text))"
 _SIDED = f"""{_QUALITY}, s AS ({' UNION ALL '.join(f"SELECT position, '{c}' AS claim, CASE WHEN {_holds(_MAP_TEXT, a)} THEN 'support' ELSE 'oppose' END AS side FROM u WHERE {_holds(_MAP_TEXT, a)} <> {_holds(_MAP_TEXT, b)}" for c, (a, b) in CLAIMS.items())})"""
 
 
-def _sided(spark: SparkSession, d: str) -> DataFrame:
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    """The frame with quality, written once for what reads it more than once."""
+    return materialise(quality.with_quality(evidence(spark, d), "position").select("position", "evidence_id", "title", "url", "final_url", "publisher", "connector", "text", "claim_eligible"), "quality")
+
+
+def _sided(e: DataFrame) -> DataFrame:
     """position, evidence_id, claim, side, origin, content: the eligible rows of each claim's sides, written once."""
-    e = quality.with_quality(evidence(spark, d), "position")
     mapped = e.where("claim_eligible").withColumn("__m", claims.polarities(F.lower(F.concat_ws(" ", "title", "text")), CLAIMS))
     each = mapped.select("position", "evidence_id", text.origin_key(text.filled(F.col("final_url"), F.col("url")), F.col("publisher"), text.filled(F.col("evidence_id"), F.col("title"))).alias("origin"), text.content_hash(F.col("text")).alias("content"), F.explode("__m").alias("claim", "side"))
     return materialise(each, "sided")
@@ -168,8 +171,8 @@ def claim_polarities(spark: SparkSession, d: str) -> DataFrame:
     return e.select("position", F.explode(claims.polarities(F.lower(F.concat_ws(" ", "title", "text")), CLAIMS)).alias("claim", "side"))
 
 
-def _chains(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    s = _sided(spark, d)
+def _chains(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    s = _sided(e)
     support = copies.independent(s.where("side = 'support'"), "position", "origin", "content", "evidence_id", "claim")
     return support, copies.independent(s.where("side = 'oppose'"), "position", "origin", "content", "evidence_id", "claim", support)
 
@@ -190,7 +193,7 @@ _GREEDY = f"""WITH RECURSIVE {_SIDED}, o AS (SELECT s.claim, s.side, u.position,
 
 @query(_GREEDY + " SELECT claim, side, position, origin FROM g WHERE took")
 def claim_chain_rows(spark: SparkSession, d: str) -> DataFrame:
-    support, oppose = _chains(spark, d)
+    support, oppose = _chains(quality.with_quality(evidence(spark, d), "position"))
     row = lambda df, side: df.select("claim", F.lit(side).alias("side"), "position", "origin")
     return row(support, "support").unionByName(row(oppose, "oppose"))
 
@@ -201,13 +204,13 @@ _STANCES = _GREEDY + f""", h AS (SELECT claim, count(*) FILTER (took AND side =
   CASE WHEN n_support > 0 AND n_oppose > 0 THEN 'medium' WHEN n_support >= 2 OR n_oppose >= 2 THEN 'high' ELSE 'low' END AS ceiling FROM h)"""
 
 
-def _stances(spark: SparkSession, d: str) -> DataFrame:
-    return claims.chain_stances(*_chains(spark, d), spark.createDataFrame([(c,) for c in CLAIMS], "claim string"))
+def _stances(spark: SparkSession, e: DataFrame) -> DataFrame:
+    return claims.chain_stances(*_chains(e), spark.createDataFrame([(c,) for c in CLAIMS], "claim string"))
 
 
 @query(_STANCES + " SELECT claim, n_support, n_oppose, stance, ceiling FROM st")
 def claim_chains(spark: SparkSession, d: str) -> DataFrame:
-    return _stances(spark, d)
+    return _stances(spark, quality.with_quality(evidence(spark, d), "position"))
 
 
 _DOCUMENT = "lower(concat_ws(' ', title, text, publisher, connector))"
@@ -221,9 +224,9 @@ def _spec_sql(specs: dict) -> str:
     )
 
 
-def _documents(spark: SparkSession, d: str) -> DataFrame:
-    e = quality.with_quality(evidence(spark, d), "position").where("coalesce(evidence_id, '') <> ''")
-    return claims.documents(e, F.lower(F.concat_ws(" ", "title", "text", "publisher", "connector")), text.filled(F.col("text")))
+def _documents(spark: SparkSession, d: str, e: DataFrame | None = None) -> DataFrame:
+    known = (quality.with_quality(evidence(spark, d), "position") if e is None else e).where("coalesce(evidence_id, '') <> ''")
+    return claims.documents(known, F.lower(F.concat_ws(" ", "title", "text", "publisher", "connector")), text.filled(F.col("text")))
 
 
 @query(f"WITH {_QUALITY} SELECT position, md5({_DOCUMENT}) AS document, left(coalesce(text, ''), 500) AS excerpt FROM u WHERE claim_eligible AND coalesce(evidence_id, '') <> ''")
@@ -255,7 +258,8 @@ _REVIEW = _STANCES + f""", sc AS ({_spec_sql(_CLAIM_SPECS)}), rv AS (SELECT spec
 
 
 def _reviewed(spark: SparkSession, d: str) -> DataFrame:
-    return claims.reviewed(claims.scored_specs(_documents(spark, d), _CLAIM_SPECS), _stances(spark, d))
+    e = _known(spark, d)
+    return claims.reviewed(claims.scored_specs(_documents(spark, d, e), _CLAIM_SPECS), _stances(spark, e))
 
 
 @query(_REVIEW + " SELECT spec, evidence_count, stance, ceiling, verdict FROM rv")

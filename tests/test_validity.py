@@ -14,7 +14,7 @@ def test_reasons_in_order(spark):
         (200, "text/html", long + "continue with google", "https://a.example/loginx", ""), (503, "text/html", None, None, "http_status_503|insufficient_text"), (None, "", long + "complete the captcha", None, "captcha"),
     ]
     df = spark.createDataFrame([c[:4] for c in cases], "s int, k string, t string, u string")
-    got = df.select(F.array_join(validity.invalid_reasons(F.col("s"), F.col("k"), F.col("t"), F.col("u")), "|")).collect()
+    got = validity.with_reasons(df, "s", "k", "t", "u").select(F.array_join("reasons", "|")).collect()
     assert [r[0] for r in got] == [c[4] for c in cases]
 
 
