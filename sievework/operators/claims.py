@@ -134,7 +134,7 @@ def overall(review: DataFrame, flags: DataFrame, for_supported: int, for_partial
     held = flags.agg(F.collect_list(F.struct("support_ids", "oppose_ids")).alias("flags"))
     two = lambda f: F.size(F.array_distinct(F.concat(f["support_ids"], f["oppose_ids"]))) > 1
     hit = F.size(F.filter("flags", lambda f: two(f) & F.arrays_overlap(F.col("cited"), F.concat(f["support_ids"], f["oppose_ids"]))))
-    t = totals.join(held).withColumn("n_conflicts", hit.cast("bigint"))
+    t = totals.withColumn("flags", held.scalar()).withColumn("n_conflicts", hit.cast("bigint"))
     base = F.when(F.col("n_supported") >= for_supported, "supported").when(F.col("n_supported") + F.col("n_partial") >= for_partial, "partially_supported").otherwise("needs_more_evidence")
     conflict = (F.col("n_conflicts") > 0) & (base != "needs_more_evidence")
     chained = F.coalesce("chained", F.lit(False))

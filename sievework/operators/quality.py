@@ -183,7 +183,7 @@ def warnings(report_row: DataFrame, n_conflicts: DataFrame) -> DataFrame:
         F.when(F.col("low_tier") > 0, F.concat(n("low_tier"), F.lit(" low-quality evidence row(s) need source review."))),
         F.when(F.col("n_conflicts") > 0, F.concat(n("n_conflicts"), F.lit(" directional conflict flag(s) need review before synthesis."))),
     ]
-    return report_row.join(n_conflicts).select(F.explode(F.array_compact(F.array(*each))).alias("warning"))
+    return report_row.withColumn("n_conflicts", n_conflicts.scalar()).select(F.explode(F.array_compact(F.array(*each))).alias("warning"))
 
 
 def conflict_flags(enriched: DataFrame, position: str, sets: dict[str, tuple[tuple[str, ...], tuple[str, ...]]]) -> DataFrame:
