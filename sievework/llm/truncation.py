@@ -35,8 +35,8 @@ from sievework.session import materialise
 
 # How texts are marked as cut, terminators, pairs of quotes and brackets, and abbreviations that want a word after them.
 _MARKER = re.compile(r"(?:…|\.\.\.|\[(?:…|\.\.\.|\+\d+[^\]]*)\]|\((?:continued|cont\.?|more|to be continued|fortsetzung folgt|suite|continúa|continua|продолжение следует)\)|\b(?:read more|weiterlesen|lire la suite|leer más|leia mais|читать далее)|»{2}|→)\s*$", re.IGNORECASE)
-_BROKEN = re.compile(r"(?:�+|&(?:#x?[0-9a-fA-F]*|[A-Za-z]{1,8})|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|%[0-9A-F]?(?<=\S%)(?<=[0-9A-F]{2}%)|</?[A-Za-z][^<>]*|<)\s*$")
-_ENDED = re.compile(r"[.!?。！？．｡؟](?:[”\"»“’')\]）」』]|\s)*$")
+_BROKEN = re.compile(r"(?:�+|&(?:#x?[0-9a-fA-F]*|[A-Za-z]{1,8})|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|%[0-9A-F]?(?<=\S%)(?<=[0-9A-F]{2}%)|<)\s*$")
+_TAG_START = re.compile(r"</?[A-Za-z]")
 _DANGLING = re.compile(r"(?:^|[\s(])(?:No|Nos|Nr|Fig|Figs|Sec|Sect|Ch|Chap|Eq|Tab|Vol|pp|p|approx|ca|cf|vs|e\.g|i\.e|z\.B|d\.h|p\.ej|p\.ex|т\.е|напр|см|incl|excl|esp|Dr|Mr|Mrs|Ms|Prof|St|bzw|ggf|Art|Abs|the U\.S|the U\.K|the E\.U)\.\s*$")
 _NUMBER = re.compile(r"(?i)(?:\b(?:version|v|near|of|at|by|about|approximately|section|release)|[$€£])\s*\d[\d,]*\.\s*$")
 _CLOSING = re.compile(
@@ -82,26 +82,60 @@ def _open_at_end(text: str) -> bool:
     return bool(stack or tags) or straight
 
 
+_CLOSERS = "”\"»“’)]）」』 \t\r\n\x0b\x0c\x85\xa0\u3000"
+
+
+def _last_sentence(end: str) -> str:
+    """The text after the last break between sentences, however far back that is: sought in windows that double."""
+    size = 512
+    while True:
+        start, at = max(0, len(end) - size), None
+        for m in _BREAK.finditer(end, start):
+            at = m.end()
+        if at is not None or start == 0:
+            return end[at or 0 :]
+        size *= 2
+
+
+def _last_words(end: str) -> str:
+    """The end of a text that marks of omission, abbreviations, entities and escapes can fill, never cut within a word or a bracket."""
+    start = max(0, len(end) - 60)
+    if end.endswith("]"):
+        start = min(start, max(0, end.rfind("[")))
+    while start and not end[start - 1].isspace():
+        start -= 1
+    return end[start:]
+
+
+def _in_tag(end: str) -> bool:
+    """Whether the text ends within a tag, however long."""
+    at = end.rfind("<")
+    return at >= 0 and ">" not in end[at:] and bool(_TAG_START.match(end, at))
+
+
 def evidence(text: str) -> str | None:
     """The first kind of evidence that the text was cut, or None."""
     # how a text stops is read from its end; what it leaves open is followed from its beginning
     end = text.rstrip()
     if not end:
         return None
-    tail = end[-60:]
-    if _ENDED.search(tail):
+    tail = _last_words(end)
+    closed = end.rstrip(_CLOSERS)
+    if closed and closed[-1] in ".!?。！？．｡؟":
         if end[-1] == "." and end[-3:] == "..." or end[-1] in "…)]":
             if _MARKER.search(tail):
                 return "marker"
         if _DANGLING.search(tail) or _NUMBER.search(tail):
             return "dangling"
+        if _in_tag(end):
+            return "broken"
         return "open" if _OPENER.search(end) and _open_at_end(end) else None
-    last = _BREAK.split(end[-400:])[-1]
+    last = _last_sentence(end)
     if _HASH.search(last) or PHRASES.search(last) and _HOLE.search(last):
         return None
     if _MARKER.search(tail):
         return "marker"
-    if _BROKEN.search(tail):
+    if _BROKEN.search(tail) or _in_tag(end):
         return "broken"
     return None if _CLOSING.search(last) else "bare"
 
@@ -151,10 +185,10 @@ def judge(rows: DataFrame, keys: list[str], source: str, text: str, most_bare: f
 
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     kinds = judged.groupBy(F.col("source").alias("__source")).agg(count(F.col("evidence") == "bare").alias("bare"), count(F.col("evidence").isNull()).alias("whole"), count(F.col("evidence").isin("torn", "open", "unended")).alias("firm"))
-    pooled = kinds.agg(*[F.sum(c).alias(f"all_{c}") for c in ("bare", "whole", "firm")])  # one row
+    pooled = kinds.agg(F.struct(*[F.sum(c).alias(f"all_{c}") for c in ("bare", "whole", "firm")])).scalar()
     writes = lambda p: (F.col(f"{p}bare") > most_bare * (F.col(f"{p}bare") + F.col(f"{p}whole"))) & (4 * F.col(f"{p}firm") < F.col(f"{p}bare"))
     own = F.col("bare") + F.col("whole") >= least_texts
-    baseline = kinds.crossJoin(F.broadcast(pooled)).select("__source", F.when(own, writes("")).otherwise(writes("all_")).alias("__bare"))
+    baseline = kinds.withColumn("__all", pooled).select("*", "__all.*").select("__source", F.when(own, writes("")).otherwise(writes("all_")).alias("__bare"))
     cut = F.coalesce((F.col("evidence") != "bare") | ((F.col("evidence") == "bare") & ~F.col("__bare")), F.lit(False))
     return judged.join(baseline, F.col("source").eqNullSafe(F.col("__source"))).select(*keys, "source", cut.alias("cut"))
 

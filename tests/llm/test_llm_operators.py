@@ -232,6 +232,16 @@ def test_truncation_of_a_source_that_cuts_most(spark):
     assert got == {"cutter": (60, 55), "writer": (41, 1), "small": (3, 3), "full": (60, 0)}
 
 
+def test_truncation_reads_texts_of_any_length():
+    far = "Kelmor and others say so in their report, " * 60
+    assert truncation.evidence("Source: Kelmor today") is None and truncation.evidence(f"It ended. Source: {far}today") is None
+    assert truncation.evidence("It ended. And then the report of the group") == truncation.evidence(f"It ended. And then {far}") == "bare"
+    assert truncation.evidence('Text. <a href="https://a.example/' + "x" * 300) == "broken" and truncation.evidence("Text. <i") == "broken"
+    assert truncation.evidence("It is done" + "." + ")" * 200) is None
+    for unclosed in ("<b>Bold text never closed. It ends here.", "<table><tr><td>Cell one. Cell two.", "He said “this.", "(see above. "):
+        assert truncation.firm_evidence(unclosed) == "open", unclosed
+
+
 # --- boilerplate --------------------------------------------------------------------------------------------------
 
 
