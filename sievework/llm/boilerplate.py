@@ -195,8 +195,8 @@ def _blocks(cell) -> list[tuple[str, str]]:
 
 
 def fit(pages: DataFrame, key: str, blocks: str, max_pages: int = 2000) -> Field:
-    some = smallest_hashes(pages.where(F.size(blocks) > 0).select(key, blocks), key, max_pages).toPandas()
-    known = [(b, y) for b in map(_blocks, some[blocks]) if len(b) <= 200 and (y := label(b)) is not None]
+    some = smallest_hashes(pages.select(key, blocks), key, max_pages, F.size(blocks) > 0)
+    known = [(b, y) for b in map(_blocks, some[blocks]) if (y := label(b)) is not None]
     return Field().train([features(b) for b, _ in known], [y for _, y in known]) if known else Field()
 
 

@@ -1,9 +1,9 @@
 """Template residue, filler and error-page text in place of content.
 
 A regularised linear classifier over hashed word n-grams, length and title features. It is trained here,
-on weak labels: a phrase list and the response status name windows of text that look like residue; a text
-that merely writes about such things (the phrase is quoted, or a report verb governs it) is labelled as
-content. Every text is cut into sentences and these into overlapping windows of WINDOW words; a record is
+on weak labels: a phrase list and the response status name windows of text that look like residue, the status as far
+as it is found to agree with the phrases; a text that merely writes about such things (the phrase is quoted, or a
+report verb governs it) is labelled as content. Every text is cut into sentences and these into overlapping windows of WINDOW words; a record is
 residue if the score of one of its windows is above a threshold, so that one bad sentence in a good text is found.
 
 Training reads a sample bounded by max_rows rows of each table, the rows with the smallest hashes of their
@@ -148,26 +148,41 @@ class Model:
 
 
 def weak_label(sentence: str, status: float | None) -> int | None:
-    """1 residue, 0 content, None unknown (a phrase in a page of status 200 whose sentence reports it stays content)."""
+    """1 residue, 0 content by the phrases; None for a sentence without one in a page whose status is an error: that label is weighed in train()."""
     hit = PHRASES.search(sentence)
     if hit:
         return 0 if MENTIONS.search(sentence) and not re.match(r"(?i)\s*(please|error|http)", sentence) else 1
-    return None if status is not None and status == status and status >= 400 else 0
+    return None if _is_error(status) else 0
+
+
+def _is_error(status: float | None) -> bool:
+    return status is not None and status == status and status >= 400
+
+
+def status_odds(hits: np.ndarray, errors: np.ndarray) -> float:
+    """Log odds ratio of residue in records with an error status against others, by the records that hold a phrase (hits), each count raised by one."""
+    a, b = hits[errors].sum() + 1, (~hits[errors]).sum() + 1
+    c, d = hits[~errors].sum() + 1, (~hits[~errors]).sum() + 1
+    return float(np.log(a / b) - np.log(c / d))
 
 
 def train(texts: list[str], titled: list[bool], status: list[float | None], epochs: int = 6, l2: float = 2e-6, rate: float = 0.3) -> Model:
-    """Logistic regression with L2 regularisation by AdaGrad over mini-batches, in a fixed order."""
+    """Logistic regression with L2 regularisation by AdaGrad over mini-batches, in a fixed order.
+
+    The phrases label first, and a model is fitted to them. How far an error status speaks for residue is then estimated
+    by how often records with and without one hold a phrase, over records with a known status; sentences whose only label is
+    an error status become residue where that and the model together say so, content elsewhere, and the model is fitted to all.
+    """
     split, labels, record = [], [], []
     for i, t in enumerate(texts):
         for s in _SENTENCE.split(plain(t)):
             label = weak_label(s, status[i])
-            if label is not None and (w := words(s)):
+            if w := words(s):
                 split.append(w)
-                labels.append((label, s))
+                labels.append((-1 if label is None else label, s))
                 record.append(i)
-    grams, side, bias = np.zeros(1 << BITS), np.zeros(SIDE), -2.0
     if not split:
-        return Model(grams, side, bias)
+        return Model(np.zeros(1 << BITS), np.zeros(SIDE), -2.0)
     at, _ = features(split)
     sentence, begin, end = windows(np.array([len(s) for s in split]))
     y = np.array([x[0] for x in labels])[sentence]
@@ -177,11 +192,28 @@ def train(texts: list[str], titled: list[bool], status: list[float | None], epoc
         y[j] = _holds(labels[s][1], int(begin[j]) - _first(sentence, begin, s))
     rec = np.array(record)[sentence]
     extra = side_features(np.array([len(t) for t in texts])[rec], np.array(titled, bool)[rec], end - begin)
+    known = y >= 0
+    model = _descend(at, begin, end, y, extra, np.flatnonzero(known), epochs, l2, rate)
+    if not known.all():
+        told = np.array([s is not None and s == s for s in status])
+        hits = np.zeros(len(texts), bool)
+        hits[rec[y == 1]] = True
+        odds = status_odds(hits[told], np.array([_is_error(s) for s in status])[told])
+        run = np.concatenate([[0.0], np.cumsum(np.append(model.grams, 0.0)[at].sum(axis=1))])
+        score = run[end] - run[begin] + model.side[extra].sum(axis=1) + model.bias
+        y[~known] = score[~known] + odds > 0
+        model = _descend(at, begin, end, y, extra, np.arange(len(y)), epochs, l2, rate)
+    return model
+
+
+def _descend(at: np.ndarray, begin: np.ndarray, end: np.ndarray, y: np.ndarray, extra: np.ndarray, use: np.ndarray, epochs: int, l2: float, rate: float) -> Model:
+    grams, side, bias = np.zeros(1 << BITS), np.zeros(SIDE), -2.0
     g2, s2, b2 = np.full(1 << BITS, 1e-3), np.full(SIDE, 1e-3), 1e-3
     rng = np.random.default_rng(7)
-    weight = np.where(y == 1, min(20.0, max(1.0, (y == 0).sum() / max(1, (y == 1).sum()))), 1.0)
+    ones = (y[use] == 1).sum()
+    weight = np.where(y == 1, min(20.0, max(1.0, (len(use) - ones) / max(1, ones))), 1.0)
     for _ in range(epochs):
-        order = rng.permutation(len(y))
+        order = use[rng.permutation(len(use))]
         for part in np.array_split(order, max(1, len(order) // 256)):
             counts = end[part] - begin[part]
             rows = np.repeat(np.arange(len(part)), counts)
@@ -224,7 +256,8 @@ def bucket(host: Column) -> Column:
 
 def fit(parts: list[DataFrame], max_rows: int = 6000) -> Model:
     """parts: rows with key, host, text, titled, status. Hosts of bucket 0 are left out."""
-    got = pd.concat([smallest_hashes(p.where((bucket(F.coalesce("host", F.lit(""))) != 0) & (F.col("text") != "")), "key", max_rows).toPandas() for p in parts])
+    trained = (bucket(F.coalesce("host", F.lit(""))) != 0) & (F.col("text") != "")
+    got = pd.concat([smallest_hashes(p, "key", max_rows, trained) for p in parts])
     return train(got["text"].tolist(), got["titled"].tolist(), got["status"].tolist())
 
 
