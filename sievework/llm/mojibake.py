@@ -12,7 +12,7 @@
    the original if it is far likelier than the word as it stands, under counts of which character follows which
    over all documents (hashed into a table of fixed size). Replacement signs count as garbled beyond recovery.
 
-A garbled sequence that stands alone between quotes is the subject of its text, not damage.
+A garbled word that stands alone between quotes is the subject of its text, not damage, unless more of the text is garbled.
 
 Defined results: null and empty texts are no case and stay as they are. Keys must be unique and not null.
 """
@@ -275,7 +275,7 @@ def _likely(word: str, counts: np.ndarray) -> float:
 
 
 _CONTROL = re.compile(r"[\x80-\x9f]")
-_ALONE = re.compile(r"^[^\w\s]*[“”\"«»„‘’'][^\x00-\x7f]{1,6}[“”\"«»„‘’'][^\w\s]*$")
+_ALONE = re.compile(r"^([^\w\s]*[“”\"«»„‘’'])([^\x00-\x7f]+)([“”\"«»„‘’'][^\w\s]*)$")
 
 
 class Judge:
@@ -298,8 +298,6 @@ class Judge:
         return self.known[w]
 
     def _word(self, w: str) -> tuple[bool, str | None]:
-        if _ALONE.match(w):
-            return False, None
         if "�" in w:
             return True, None
         have = best = _likely(w, self.counts)
@@ -328,10 +326,19 @@ class Judge:
         return bool(_CONTROL.search(w)), None
 
     def text(self, text: str) -> tuple[bool, str]:
-        """Whether the text is garbled, and the text with its garbled words restored where that is possible."""
-        bad = {w: to for w in words(text) if (found := self.word(w))[0] for to in found[1:]}
+        """Whether the text is garbled, and the text with its garbled words restored where that is possible.
+
+        Words that stand alone between quotes do not make a text garbled; in one that is they are restored like all others.
+        """
+        each = words(text)
+        quoted = {w: m for w in each if (m := _ALONE.match(w))}
+        bad = {w: to for w in each if w not in quoted and (found := self.word(w))[0] for to in found[1:]}
         if not bad:
             return False, text
+        for w, m in quoted.items():
+            found, to = self.word(m[2])
+            if found and to is not None:
+                bad[w] = m[1] + to + m[3]
         return True, _WORD.sub(lambda m: bad.get(m[0]) or m[0], text)
 
 
