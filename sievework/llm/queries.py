@@ -119,11 +119,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forms = [
-        visual_form.common_form(table(spark, sf_dir, name), ["ordinal"], text).select(F.lit(name).alias("tbl"), "ordinal", "form")
-        for name, text in (("false_positive_evidence", "text"), ("adversarial_rows", "body"))
-    ]
-    return forms[0].unionByName(forms[1])
+    """Each text's form for comparisons, and clean, the text for readers: in one form too, but with the letters of its own script."""
+    out = None
+    for name, text in (("false_positive_evidence", "text"), ("adversarial_rows", "body")):
+        rows = table(spark, sf_dir, name)
+        both = visual_form.common_form(rows, ["ordinal"], text).join(visual_form.readable_form(rows, ["ordinal"], text), "ordinal")
+        each = both.select(F.lit(name).alias("tbl"), "ordinal", "form", "clean")
+        out = each if out is None else out.unionByName(each)
+    return out
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,8 +33,12 @@ from sievework.session import materialise
 LOOK_ALIKES = (
     "аa еe оo рp сc уy хx іi јj ѕs ԁd һh ԛq ԝw ѵv АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT ХX ҮY ԚQ ԜW ԌG "  # Cyrillic
     "οo νv ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϳj ϲc ϹC "  # Greek
-    "օo ոn սu հh ցg զq ՍU ՕO ՏS ꓲI ‐- ‑-"  # Armenian, Lisu, hyphens
+    "օo ոn սu հh ցg զq ՍU ՕO ՏS ɡg ‐- ‑- "  # Armenian, Latin, hyphens
+    "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU "  # Lisu
+    "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᏒR ᏚS ᎢT ᏙV ᎳW ᏃZ"  # Cherokee
 )
+#: Scripts whose letters are only taken for Latin ones in words that hold Latin letters too, where a text is to be read.
+_MIXED = r"(?=.*[A-Za-z])(?=.*[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}\p{IsLisu}\p{IsCherokee}])"
 
 
 def _like() -> dict[str, str]:
@@ -53,9 +57,9 @@ def _plain(ch: str) -> str:
 
 
 @lru_cache
-def tables() -> tuple[dict[str, str], dict[str, int]]:
-    """What each unit becomes, and the combining classes of the marks."""
-    like, single, marks = _like(), {}, {}
+def tables(alike: bool = True) -> tuple[dict[str, str], dict[str, int]]:
+    """What each unit becomes, and the combining classes of the marks; look-alikes stay unless alike is set."""
+    like, single, marks = _like() if alike else {}, {}, {}
     for cp in range(0x80, sys.maxunicode + 1):
         if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF:
             continue
@@ -98,13 +102,13 @@ MARK = r"\p{Mn}"
 
 
 @lru_cache
-def _still(least: int = 4) -> str:
+def _still(alike: bool = True, least: int = 4) -> str:
     """Runs of at least so many code points that the table keeps, as a class of a Java pattern.
 
     The class need not hold all of them, as a code point that is looked up in vain stays as it is;
     it holds few runs, because Java tests them one after another.
     """
-    units, _ = tables()
+    units, _ = tables(alike)
     runs, first = [r"\x{0}-\x{7F}"], None
     for cp in range(0x80, 0x530):
         if chr(cp) in units or unicodedata.category(chr(cp)) in ("Mn", "Cf"):
@@ -120,13 +124,24 @@ def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-def common_form(texts: DataFrame, key: list[str], text: str, into: str = "form", keep: list[str] = ()) -> DataFrame:
+def readable_form(texts: DataFrame, key: list[str], text: str, into: str = "clean") -> DataFrame:
+    """As common_form, but for reading: look-alikes become Latin letters only in words that hold Latin ones, so that other scripts stay what they are."""
+    whole = common_form(texts, key, text, into, alike=False)
+    pairs = _like()
+    word = lambda w: F.when(w.rlike(_MIXED), F.translate(w, "".join(pairs), "".join(pairs.values()))).otherwise(w)
+    mixed = F.array_join(F.transform(F.split(into, r"(?<=[\s\p{P}])|(?=[\s\p{P}])"), word), "")
+    # the cheap test on neighbours spares texts without such a word, which are nearly all
+    return whole.withColumn(into, F.when(F.col(into).rlike(r"[A-Za-z][^\x{0}-\x{36F}]|[^\x{0}-\x{36F}][A-Za-z]"), mixed).otherwise(F.col(into)))
+
+
+def common_form(texts: DataFrame, key: list[str], text: str, into: str = "form", keep: list[str] = (), alike: bool = True) -> DataFrame:
     """The one form of column text, in column into, with the columns key and keep.
 
-    key: columns that tell the rows apart; keep: other small columns, which travel with each unit.
+    key: columns that tell the rows apart; keep: other small columns, which travel with each unit; alike: whether
+    look-alikes are one, as comparisons want it.
     """
     spark = texts.sparkSession
-    (units, marks), still = tables(), _still()
+    (units, marks), still = tables(alike), _still(alike)
     # the cheap class goes first: only code points beyond ASCII are held against the long ones
     touched = F.coalesce(F.col(text).rlike(rf"[^\x{{0}}-\x{{7F}}](?<=[{DROPPED}]|[^{still}])"), F.lit(False))
     calm = texts.where(~touched).select(*key, *keep, F.col(text).alias(into))

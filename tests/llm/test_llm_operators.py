@@ -65,6 +65,13 @@ def test_visual_form_composes_in_full(spark):
     assert all(form[2 * i] == form[2 * i + 1] for i in range(len(same))), form
 
 
+def test_readable_form_keeps_scripts(spark):
+    cases = ["сор в отчёте", "Fіrst раyment, обычный текст", "ｗｉｄｅ\u00a0te\u0301xt", "ᎪꓐC стол", "", None]
+    df = spark.createDataFrame(list(enumerate(cases)), "id bigint, t string")
+    got = {r["id"]: r["clean"] for r in visual_form.readable_form(df, ["id"], "t").collect()}
+    assert [got[i] for i in range(6)] == ["сор в отчёте", "First payment, обычный текст", "wide téxt", "ABC стол", "", None]
+
+
 def test_same_looks_pairs(spark):
     df = spark.createDataFrame([(1, "café"), (2, "café"), (3, "café"), (4, "other"), (5, "other"), (6, None), (7, ""), (8, "")], "ordinal bigint, text string")
     assert rows_of(visual_form.same_looks(df, "ordinal", "text"), "key_a", "key_b") == [(1, 2), (2, 3)]
