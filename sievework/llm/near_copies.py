@@ -38,10 +38,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,13 +107,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _grams(texts: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _grams(texts: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts, words between single blanks: the hash of each shingle in order, its text, the hashes of its words, and those of all words."""
-    found = [t.split(" ") for t in texts]
-    kept = [i for i, w in enumerate(found) if len(w) >= max(s.least_words, s.shingle)]
-    count = np.array([len(found[i]) for i in kept], np.int64)
-    flat = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(found[i] for i in kept)), np.uint64, int(count.sum()))
-    owner = np.repeat(np.array(kept, np.int64), count)
+    found = pc.split_pattern(texts, " ")
+    count = pc.list_value_length(found).to_numpy(zero_copy_only=False)
+    kept = np.flatnonzero(count >= max(s.least_words, s.shingle))
+    each = found.take(pa.array(kept)).flatten().dictionary_encode()
+    known = np.fromiter(map(_hashes.__getitem__, each.dictionary.to_pylist()), np.uint64, len(each.dictionary))  # each word of the slice once
+    flat = known[each.indices.to_numpy(zero_copy_only=False)]
+    owner = np.repeat(kept.astype(np.int64), count[kept])
     n = max(0, len(flat) - s.shingle + 1)
     words = np.lib.stride_tricks.sliding_window_view(flat, s.shingle) if n else np.empty((0, s.shingle), np.uint64)
     gram = _mix(words[:, 0])
@@ -129,10 +131,10 @@ def _unique(values: np.ndarray) -> np.ndarray:
     return values[first]
 
 
-def shingles(texts: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of all texts and the text of each, in the order of texts and hashes."""
+def shingles(texts: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of up to 2**12 texts and the text of each, in the order of texts and hashes."""
     gram, owner, _, _ = _grams(texts, s)
-    order = np.lexsort((gram, owner))
+    order = np.argsort((owner.astype(np.uint64) << np.uint64(52)) | (gram >> np.uint64(12)))
     gram, owner = gram[order], owner[order]
     first = np.ones(len(gram), bool)
     first[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
@@ -173,7 +175,7 @@ def _count(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Record
         places.clear()
 
     for b in _slices(batches):
-        gram, owner, _, words = _grams(b["text"].to_pylist(), s)
+        gram, owner, _, words = _grams(b["text"], s)
         each = _unique(np.sort((owner.astype(np.uint64) << np.uint64(52)) | (gram >> np.uint64(12))))  # once a text
         places += [_place(each, COUNTER_BITS).astype(np.uint32), ((1 << COUNTER_BITS) + _place(_mix(words), WORD_BITS)).astype(np.uint32)]
         if sum(map(len, places)) > 1 << 22:
@@ -223,7 +225,7 @@ def _probes(batches: Iterator[pa.RecordBatch], s: Settings, counts) -> Iterator[
     """What each text probes: shingle (with its part, if it is hot), key, size, position and side in one integer, parity code."""
     table = counts.value
     for b in _slices(batches):
-        gram, owner, words, _ = _grams(b["text"].to_pylist(), s)
+        gram, owner, words, _ = _grams(b["text"], s)
         if not len(gram):
             continue
         rarest = table[(1 << COUNTER_BITS) + _place(_mix(words), WORD_BITS)].min(axis=1)
@@ -260,18 +262,32 @@ def _probes(batches: Iterator[pa.RecordBatch], s: Settings, counts) -> Iterator[
 
 def _sets(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     for b in _slices(batches):
-        gram, owner = shingles(b["text"].to_pylist(), s)
+        gram, owner = shingles(b["text"], s)
         ids, start = np.unique(owner, return_index=True)
         yield pa.RecordBatch.from_arrays([b["key"].take(pa.array(ids)), pa.array([x.tobytes() for x in np.split(gram, start[1:])] if len(ids) else [], pa.binary())], ["key", "set"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        pairs = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b["set_a"].to_pylist(), b["set_b"].to_pylist())]
-        shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in pairs], np.int32)
-        total = np.array([len(x) + len(y) for x, y in pairs], np.int32)
-        ok = shared >= np.array([need(n, 0, t) for n in total]) if len(pairs) else np.zeros(0, bool)
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in (b["class_a"], b["class_b"], pa.array(shared), pa.array(total - shared))], ["class_a", "class_b", "shared", "united"])
+    """Candidates whose sets are alike enough, with the number of shingles in both and in either.
+
+    All pairs of a slice are counted in one sort of (pair, 52 bits of the hash). Hashes that agree in these bits alone
+    could lift a pair over the threshold by one, so pairs right at it are counted again on all 64 bits.
+    """
+    for b in _slices(batches):
+        sets = [[np.frombuffer(x, np.uint64) for x in b[c].to_pylist()] for c in ("set_a", "set_b")]
+        n = b.num_rows
+        if not n:
+            continue
+        size = np.array([[len(x) for x in side] for side in sets], np.int64)
+        pair = np.concatenate([np.repeat(np.arange(n, dtype=np.uint64), s) for s in size])
+        both = np.sort((pair << np.uint64(52)) | (np.concatenate([*sets[0], *sets[1]]) >> np.uint64(12)))
+        twice = both[1:][both[1:] == both[:-1]] >> np.uint64(52)
+        shared, total = np.bincount(twice.astype(np.int64), minlength=n), size.sum(axis=0)
+        least = need(total, 0, t)
+        for i in np.flatnonzero(shared == least):
+            shared[i] = len(np.intersect1d(sets[0][i], sets[1][i], assume_unique=True))
+        ok = pa.array(shared >= least)
+        yield pa.RecordBatch.from_arrays([c.filter(ok) for c in (b["class_a"], b["class_b"], pa.array(shared.astype(np.int32)), pa.array((total - shared).astype(np.int32)))], ["class_a", "class_b", "shared", "united"])
 
 
 def links(texts: DataFrame, key: str, text: str, s: Settings = Settings()) -> Found:

@@ -168,7 +168,7 @@ def test_near_copies_links_of_classes(spark):
 
 def test_shingles_do_not_depend_on_the_batch():
     text = " ".join(f"w{i}" for i in range(40))
-    alone, _ = near_copies.shingles([text], near_copies.FOUND)
+    alone, _ = near_copies.shingles(pa.array([text]), near_copies.FOUND)
     b = pa.RecordBatch.from_arrays([pa.array(range(70_001), pa.int64()), pa.array([text if i in (0, 70_000) else "a" for i in range(70_001)])], ["key", "text"])
     sets = [x for r in near_copies._sets(iter([b]), near_copies.FOUND) for x in r["set"].to_pylist()]
     assert len(sets) == 2 and all((np.frombuffer(x, np.uint64) == alone).all() for x in sets)
