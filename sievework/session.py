@@ -6,6 +6,8 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +63,17 @@ def discard(written: DataFrame) -> None:
         p.getFileSystem(written.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def scratch_tables() -> Iterator[None]:
+    """Within it a query is made and its result written or collected; tables that materialise wrote on the way are then deleted."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for name in set(_WRITTEN) - before:
+            discard(_WRITTEN[name][0])
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -31,3 +31,16 @@ def test_files_reach_python_workers(spark):
     assert open(SparkFiles.get(name), "rb").read() == b"abc"
     got = spark.range(1).mapInPandas(lambda bs: (b.assign(id=len(open(SparkFiles.get(name), "rb").read())) for b in bs), "id bigint").first()["id"]
     assert got == 3
+
+
+def test_scratch_tables_are_deleted_after_use(spark):
+    with session.scratch_tables():
+        t = session.materialise(spark.range(5), "probe")
+        path = session._WRITTEN[id(t)][1]
+        assert t.count() == 5 and session.exists(spark, path)
+    assert not session.exists(spark, path)
+
+
+def test_queries_of_the_core_without_the_libraries_of_the_rest(monkeypatch):
+    monkeypatch.setitem(__import__("sys").modules, "sievework.llm.queries", None)
+    assert len(__spark_entry__.queries()) == len(__spark_entry__.catalog.QUERIES)
