@@ -9,21 +9,22 @@ from sievework.llm import boilerplate, encode, exact_copies, mixing, mojibake, n
 from sievework.session import materialise, table
 
 
+def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows as tuples of integers, written once, as each query reads them twice."""
+    return materialise(exact_copies.encode(table(spark, sf_dir, "false_positive_evidence"), "ordinal", exact_copies.EVIDENCE), "records")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = exact_copies.encode(table(spark, sf_dir, "false_positive_evidence"), "ordinal", exact_copies.EVIDENCE)
-    return exact_copies.copies(encoded, "ordinal").select(F.col("first_key").alias("first_ordinal"), F.col("copy_key").alias("copy_ordinal"))
+    return exact_copies.copies(_encoded(spark, sf_dir), "ordinal").select(F.col("first_key").alias("first_ordinal"), F.col("copy_key").alias("copy_ordinal"))
 
 
 def p2_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = exact_copies.encode(table(spark, sf_dir, "false_positive_evidence"), "ordinal", exact_copies.EVIDENCE)
-    return exact_copies.collapse(encoded, "ordinal").select(F.col("first_key").alias("first_ordinal"), "copies")
+    return exact_copies.collapse(exact_copies.encode(table(spark, sf_dir, "false_positive_evidence"), "ordinal", exact_copies.EVIDENCE), "ordinal").select(F.col("first_key").alias("first_ordinal"), "copies")
 
 
 def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As p2_collapsed, with the rows that take no part as records of one copy."""
-    rows = table(spark, sf_dir, "false_positive_evidence")
-    encoded = materialise(exact_copies.encode(rows, "ordinal", exact_copies.EVIDENCE), "records")
-    return exact_copies.records(rows, encoded, "ordinal").select(F.col("first_key").alias("first_ordinal"), "copies")
+    return exact_copies.records(table(spark, sf_dir, "false_positive_evidence"), _encoded(spark, sf_dir), "ordinal").select(F.col("first_key").alias("first_ordinal"), "copies")
 
 
 def _residue_parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
