@@ -216,7 +216,17 @@ def entity_presence(spark: SparkSession, d: str) -> DataFrame:
     return claims.presence(_evidence(spark, d), _doc(), ENTITIES)
 
 
-@query()
+def _term_sql(t: str) -> str:
+    if len(t) <= 4 and t.isascii():
+        return f"regexp_matches(n, '(?:^|[^a-z0-9]){t}(?:[^a-z0-9]|$)')"
+    return f"contains(n, '{t}')"
+
+
+_LABEL_SCORES = {n: " + ".join(f"CASE WHEN {_term_sql(t)} THEN {max(1, len(t.split()))} ELSE 0 END" for t in terms) for n, terms in LABELS.items()}
+
+
+@query(f"""SELECT ordinal, CASE WHEN top < 1 THEN 'generic' {' '.join(f"WHEN s_{n} = top THEN '{n}'" for n in LABELS)} END AS label, top AS score FROM (SELECT *, greatest({', '.join(f's_{n}' for n in LABELS)}) AS top
+ FROM (SELECT ordinal, {', '.join(f'{x} AS s_{n}' for n, x in _LABEL_SCORES.items())} FROM (SELECT ordinal, {_normal("concat_ws(' ', title, text)")} AS n FROM false_positive_evidence)))""")
 def topic_labels(spark: SparkSession, d: str) -> DataFrame:
     norm = F.col("norm")
     score = {n: sum((F.when(text.holds_term(norm, t), max(1, len(t.split()))).otherwise(0) for t in terms), F.lit(0)) for n, terms in LABELS.items()}
@@ -354,9 +364,9 @@ def last_delivery(spark: SparkSession, d: str) -> DataFrame:
     return r.select("evidence_id", "r.ordinal", "r.source_id")
 
 
-@query("SELECT source_id, count(DISTINCT connector) AS n_connectors, count(*) AS n_rows FROM false_positive_evidence GROUP BY 1 HAVING count(DISTINCT connector) > 1")
+@query("SELECT source_id, count(DISTINCT publisher) AS n_publishers, count(*) AS n_rows FROM false_positive_evidence GROUP BY 1 HAVING count(DISTINCT publisher) > 1")
 def spread_sources(spark: SparkSession, d: str) -> DataFrame:
-    return _evidence(spark, d).groupBy("source_id").agg(F.count_distinct("connector").alias("n_connectors"), F.count(F.lit(1)).alias("n_rows")).where("n_connectors > 1")
+    return _evidence(spark, d).groupBy("source_id").agg(F.count_distinct("publisher").alias("n_publishers"), F.count(F.lit(1)).alias("n_rows")).where("n_publishers > 1")
 
 
 @query("SELECT ordinal, len(list_filter(string_split_regex(text, '\\r\\n|[\\n\\r]'), lambda l: trim(l) <> '')) AS n_lines FROM fetched_pages WHERE text <> ''".replace("\\\\", "\\"))
