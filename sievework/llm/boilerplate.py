@@ -70,8 +70,12 @@ def _bucket(n: int) -> int:
     return min(9, int(n).bit_length())
 
 
-@lru_cache(100_000)
 def _text_features(text: str) -> tuple[int, ...]:
+    """Features of a block's text; those of short texts, which furniture repeats, are kept."""
+    return _short_features(text) if len(text) <= 400 else _whole_features(text)
+
+
+def _whole_features(text: str) -> tuple[int, ...]:
     words = _WORD.findall(_DIGITS.sub("0", text.lower()))
     out = {zlib.crc32(w.encode("utf-8", "surrogatepass")) % _SIDE for w in words}
     out |= {zlib.crc32((a + " " + b).encode("utf-8", "surrogatepass")) % _SIDE for a, b in zip(words, words[1:])}
@@ -86,6 +90,8 @@ def _text_features(text: str) -> tuple[int, ...]:
     return tuple(sorted(out)) + tuple(_SIDE + s for s in shape)
 
 
+_short_features = lru_cache(50_000)(_whole_features)
+
 #: Place features follow those of the text.
 _PLACE, SIZE = _SIDE + 40, _SIDE + 80
 

@@ -19,6 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rates are worked out at the driver, so the sources of a mixture are bounded; more are an error.
+MOST_SOURCES = 100_000
+
+
 @dataclass(frozen=True)
 class Rate:
     source: str
@@ -58,7 +62,9 @@ def mix(counted: DataFrame, key: str, source: str, targets: DataFrame, total: fl
 
     targets: source, target_share, max_repeats, one row for each source of the mixture; it is read by the driver.
     """
-    wanted = [(r["source"], r["target_share"], r["max_repeats"]) for r in targets.select("source", "target_share", "max_repeats").collect()]
+    wanted = [(r["source"], r["target_share"], r["max_repeats"]) for r in targets.select("source", "target_share", "max_repeats").limit(MOST_SOURCES + 1).collect()]
+    if len(wanted) > MOST_SOURCES:
+        raise ValueError(f"a mixture has at most {MOST_SOURCES} sources")
     names = [w[0] for w in wanted]
     sums = counted.where(F.col(source).isin(names)).groupBy(F.col(source).alias("s")).agg(F.sum("n_tokens").alias("n")).collect()  # a row for each target
     found = rates({r["s"]: r["n"] for r in sums}, wanted, total)
@@ -75,10 +81,13 @@ def emit(chosen: DataFrame) -> DataFrame:
 
 
 def shares(chosen: DataFrame, source: str, found: list[Rate]) -> DataFrame:
-    """source, target_share, max_repeats, rate, used_tokens, actual_share: one row for each target."""
+    """source, target_share, max_repeats, tokens, rate, binding, used_tokens, actual_share: one row for each target.
+
+    binding: whether the source is used as often as its cap allows, which limits the whole mixture where no total is given.
+    """
     spark = chosen.sparkSession
     used = chosen.groupBy(F.col(source).alias("source")).agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("used_tokens"))
-    table = spark.createDataFrame([(r.source, r.target_share, r.max_repeats, r.rate) for r in found], "source string, target_share double, max_repeats int, rate double")
+    table = spark.createDataFrame([(r.source, r.target_share, r.max_repeats, r.tokens, r.rate, r.rate > 0 and r.rate >= r.max_repeats) for r in found], "source string, target_share double, max_repeats int, tokens bigint, rate double, binding boolean")
     whole = F.sum("used_tokens").over(Window.partitionBy())  # over a row for each target
     joined = table.join(used, "source", "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))
-    return joined.select("source", "target_share", "max_repeats", "rate", "used_tokens", F.try_divide("used_tokens", whole).alias("actual_share"))
+    return joined.select("source", "target_share", "max_repeats", "tokens", "rate", "binding", "used_tokens", F.try_divide("used_tokens", whole).alias("actual_share"))
