@@ -216,6 +216,26 @@ def compact(c: Column, most: int = 120) -> Column:
     return F.substring(squeeze(c), 1, most)
 
 
+# What stands between the sides of a comparison, and words at the end of a side that name no side.
+BETWEEN, GENERIC_ENDS = ("versus", "vs.", "vs", "compared to"), ("inference engine", "inference engines", "framework", "frameworks", "project", "projects", "repositories", "comparison")
+
+
+def comparison_sides(c: Column) -> Column:
+    """The sides of a comparison in their order, each once and without a closing generic word; none if nothing is compared."""
+    # each word between sides becomes a mark that no text holds, on a text with single blanks
+    mark, flat = "\u0001", squeeze(c)
+    for word in BETWEEN:
+        flat = F.regexp_replace(flat, rf"(?i) \Q{word}\E(?= )", mark)
+    ends = "|".join(rf"\Q{w}\E" for w in GENERIC_ENDS)
+    sides = F.transform(F.split(flat, mark), lambda x: F.regexp_replace(F.regexp_replace(x, rf"(?i) (?:{ends})\s*$", ""), r"^[\s,:;-]+|[\s,:;-]+$", ""))
+    return F.when(F.contains(flat, F.lit(mark)), F.array_distinct(F.filter(sides, lambda x: x != ""))).otherwise(F.array().cast("array<string>"))
+
+
+def path_reference(path: Column) -> Column:
+    """A file's name and a hash of its whole path, which tells files apart without showing where they are."""
+    return F.concat(F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1), F.lit("#"), F.substring(F.sha2(path, 256), 1, 12))
+
+
 def run_slug(c: Column) -> Column:
     """Lower case, runs of other than letters and digits as '-', up to 64 characters; 'research-run' for nothing."""
     return F.coalesce(F.nullif(F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 64), F.lit("")), F.lit("research-run"))

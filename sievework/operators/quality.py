@@ -211,3 +211,8 @@ def latest_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Of each key the last row, whole."""
     n = F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))
     return rows.withColumn("__n", n).where("__n = 1").drop("__n")
+
+
+def reason_counts(rows: DataFrame, reasons: str) -> DataFrame:
+    """reason, n_rows: how many rows have each reason; rows without one give none."""
+    return rows.select(F.explode(F.array_distinct(reasons)).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"))

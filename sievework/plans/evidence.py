@@ -85,6 +85,11 @@ def evidence_reasons(spark: SparkSession, d: str) -> DataFrame:
     return quality.with_reasons(evidence(spark, d)).select("position", F.array_join("content_invalid_reasons", "|").alias("reasons"))
 
 
+@query(f"WITH {_REASONED} SELECT reason, count(*) AS n_rows FROM (SELECT unnest(reasons) AS reason FROM r) GROUP BY 1")
+def reason_counts(spark: SparkSession, d: str) -> DataFrame:
+    return quality.reason_counts(quality.with_reasons(evidence(spark, d)), "content_invalid_reasons")
+
+
 @query(f"""WITH {_QUALITY} SELECT position, valid AS content_valid, claim_eligible, hundredths / 100.0 AS quality_score, quality_tier,
  array_to_string(CASE WHEN valid THEN list_filter(list_transform(signals, lambda s: s.reason), lambda x: x IS NOT NULL) ELSE list_concat(['invalid_content'], list_transform(reasons, lambda x: 'invalid_' || x)) END, '|') AS quality_reasons FROM q""")
 def quality_scores(spark: SparkSession, d: str) -> DataFrame:

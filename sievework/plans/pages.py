@@ -95,6 +95,12 @@ def extracted_pages(spark: SparkSession, d: str) -> DataFrame:
     return e.select("ordinal", "media_type", F.length("text").alias("n_chars"), F.size("blocks").alias("n_blocks"), F.size("tables").alias("n_tables"), "valid", F.array_join("reasons", "|").alias("reasons"))
 
 
+@query()
+def fetched_content(spark: SparkSession, d: str) -> DataFrame:
+    f = content.fetched(table(spark, d, "adversarial_rows"), "ordinal", "body", "content_type", "status", "url")
+    return f.select("ordinal", F.length("text").alias("n_chars"), F.size("blocks").alias("n_blocks"), "valid", F.array_join("reasons", "|").alias("reasons"), F.col("published.day").alias("published"), F.col("updated.day").alias("updated"))
+
+
 @query("SELECT event_id, k || ': ' || json_extract_string(props, '$.' || k) AS line FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events WHERE json_valid(props))")
 def json_lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.explode(content.json_lines(F.col("props"))).alias("line"))

@@ -136,3 +136,27 @@ def job_links(spark: SparkSession, d: str) -> DataFrame:
     html = F.concat(F.lit("<p>x</p><a href='/about'>About</a><a href='https://c.example/jobs/1'>Elsewhere</a><a href='../"), F.when(F.col("ordinal") % 2 == 0, "jobs/").otherwise("news/"), o, F.lit("'>Opening\n <b>"), o, F.lit("</b></a><a href='/jobs/2'></a>"))
     pages = table(spark, d, "b4_results").select("ordinal", html.alias("html"), F.lit("https://jobs.b.example/list/all").alias("base"))
     return sources.job_links(pages, "ordinal", "html", "base", ("b.example",))
+
+
+@query(r"""SELECT url, (min({'r': result_rank, 'o': ordinal})).r AS result_rank, (min({'r': result_rank, 'o': ordinal})).o AS ordinal FROM (SELECT trim(url) AS url, result_rank, ordinal FROM b4_results WHERE regexp_matches(trim(url), '^https?://[^/?#]+'))
+WHERE url NOT IN (SELECT url FROM fetched_pages WHERE url IS NOT NULL) GROUP BY 1 ORDER BY 2, 3 LIMIT 40""")
+def refetch_candidates(spark: SparkSession, d: str) -> DataFrame:
+    seen = table(spark, d, "fetched_pages").where("url is not null")
+    return sources.candidates(table(spark, d, "b4_results"), seen, ["result_rank", "ordinal"], 40)
+
+
+@query("SELECT ordinal, list_extract(string_split(regexp_replace(p, '/+$', ''), '/'), -1) || '#' || left(sha256(p), 12) AS reference FROM (SELECT ordinal, '/data/' || topic || '/' || coalesce(host, '') || '.jsonl' AS p FROM b4_results)")
+def path_references(spark: SparkSession, d: str) -> DataFrame:
+    from sievework.functions.text import path_reference
+
+    p = F.concat(F.lit("/data/"), F.col("topic"), F.lit("/"), F.coalesce("host", F.lit("")), F.lit(".jsonl"))
+    return table(spark, d, "b4_results").select("ordinal", path_reference(p).alias("reference"))
+
+
+@query(r"""SELECT ordinal, array_to_string(list_transform(string_split_regex(topic || '  Compared to ' || host || ' Frameworks', '(?i)\s+(?:versus|vs\.|vs|compared to)\s+'),
+ lambda x: trim(regexp_replace(x, '(?i) (?:inference engines?|frameworks?|projects?|repositories|comparison)\s*$', ''), ' ,:;-')), '|') AS sides FROM b4_results WHERE host IS NOT NULL""")
+def comparison_sides(spark: SparkSession, d: str) -> DataFrame:
+    from sievework.functions.text import comparison_sides as sides
+
+    c = F.concat(F.col("topic"), F.lit("  Compared to "), F.col("host"), F.lit(" Frameworks"))
+    return table(spark, d, "b4_results").where("host is not null").select("ordinal", F.array_join(sides(c), "|").alias("sides"))

@@ -91,7 +91,7 @@ def children(spark: SparkSession, path: str) -> list[str]:
 def put_file(spark: SparkSession, label: str, data: bytes) -> str:
     """Write a file to the shared folder and have Spark hand it to all executors, also to those that start later; its name."""
     path = f"{shared_dir(spark)}/sievework/{label}-{uuid.uuid4().hex}.bin"
-    _write(spark, path, data)
+    write_file(spark, path, data)
     spark.sparkContext.addFile(path)
     return path.rsplit("/", 1)[1]
 
@@ -110,12 +110,13 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
     path = f"{shared_dir(spark)}/sievework/package-{uuid.uuid4().hex}.zip"
-    _write(spark, path, data.getvalue())
+    write_file(spark, path, data.getvalue())
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
 
 
-def _write(spark: SparkSession, path: str, data: bytes) -> None:
+def write_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file in any file system that Spark knows."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
     try:

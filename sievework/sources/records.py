@@ -206,3 +206,20 @@ def job_links(pages: DataFrame, key: str, html: str, base: str, domains: tuple[s
 def unique_urls(rows: DataFrame, order: str) -> DataFrame:
     """The first row of each address; rows without one are dropped."""
     return first_by(rows.where(F.coalesce("url", F.lit("")) != ""), ["url"], [F.col(order)])
+
+
+def keyed_documents(spark: SparkSession, folders: list[str], key: str = "id") -> DataFrame:
+    """key, document of the JSON files of several folders, one document each; of a key in several folders the last one's, within a folder the last file's. Files without an object are left out."""
+    out = None
+    for i, folder in enumerate(folders):
+        text = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(F.input_file_name().alias("file"), F.col("value").alias("document"))
+        named = text.select(F.lit(i).alias("place"), "file", F.get_json_object("document", f"$.{key}").alias(key), "document").where(F.col(key).isNotNull())
+        out = named if out is None else out.unionByName(named)
+    return out.groupBy(key).agg(F.max_by("document", F.struct("place", "file")).alias("document"))
+
+
+def candidates(rows: DataFrame, seen: DataFrame, order: list[str], most: int) -> DataFrame:
+    """The first `most` rows, in their order, with a web address that is neither in seen (url) nor in a row before."""
+    fit = rows.where(F.trim("url").rlike("(?i)^https?://[^/?#]+")).withColumn("url", F.trim("url"))
+    first = fit.groupBy("url").agg(F.min(F.struct(*order)).alias("__o")).join(seen.select("url").distinct(), "url", "left_anti")
+    return first.select("url", "__o.*").orderBy(*order).limit(most)

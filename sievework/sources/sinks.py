@@ -9,7 +9,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.session import children, exists
+from sievework.session import children, exists, write_file
 
 # Outcomes that are never cached.
 UNCACHED = ("failed", "rate_limit", "robots_denied", "retry_exhausted", "timeout")
@@ -58,3 +58,18 @@ def reserve_folder(root: str, name: str) -> str:
         except FileExistsError:
             continue
     raise RuntimeError(f"no free folder for {name}")
+
+
+def write_json(spark: SparkSession, path: str, value: dict) -> None:
+    """One JSON document with an indent of 2 and a line break at the end, in any file system that Spark knows."""
+    write_file(spark, path, (json.dumps(value, indent=2, ensure_ascii=False) + "\n").encode())
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    """The document that write_json wrote; empty if there is none or it cannot be read."""
+    if not exists(spark, path):
+        return {}
+    try:
+        return dict(json.loads(spark.read.text(path, wholetext=True).first()["value"]))
+    except (TypeError, ValueError):
+        return {}

@@ -255,3 +255,27 @@ def test_stream_drops_redeliveries(spark, tmp_path):
     q = ingest.first_deliveries(ingest.read(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("firsts").count() == 3
+
+
+def test_json_documents_and_overlays(spark, tmp_path):
+    sinks.write_json(spark, str(tmp_path / "state.json"), {"a": "é", "b": [1]})
+    assert (tmp_path / "state.json").read_text() == '{\n  "a": "é",\n  "b": [\n    1\n  ]\n}\n'
+    assert sinks.read_json(spark, str(tmp_path / "state.json")) == {"a": "é", "b": [1]} and sinks.read_json(spark, str(tmp_path / "none.json")) == {}
+    for folder, name, doc in (("one", "a", '{"id": "x", "v": 1}'), ("one", "b", '{"id": "y", "v": 1}'), ("two", "a", '{"id": "x", "v": 2}'), ("two", "z", "[1]")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / f"{name}.json").write_text(doc)
+    got = {r["id"]: json.loads(r["document"])["v"] for r in records.keyed_documents(spark, [str(tmp_path / "one"), str(tmp_path / "two")]).collect()}
+    assert got == {"x": 2, "y": 1}
+
+
+def test_comparison_sides(spark):
+    cases = {"llm A vs. llm B frameworks": ["llm A", "llm B"], "a  VERSUS b compared to a": ["a", "b"], "one topic": [], "vs x": [], "": []}
+    df = spark.createDataFrame([(x,) for x in cases], "t string")
+    assert {r["t"]: r["s"] for r in df.select("t", text.comparison_sides(F.col("t")).alias("s")).collect()} == cases
+
+
+def test_fetched_pages_carry_all_reasons(spark):
+    rows = [(1, "<h1>T</h1><p>" + "word " * 40 + '</p><time datetime="2026-02-03">x</time>', "text/html", 200, "https://a.example/2026/01/01"), (2, "", "text/html", 404, "u"), (3, "plain " * 40, "text/plain", None, "https://a.example/20260105/x"), (4, None, None, None, None)]
+    df = spark.createDataFrame(rows, "k bigint, b string, t string, s int, u string")
+    got = {r["k"]: (r["valid"], r["reasons"], r["published"] and str(r["published"]["day"])) for r in content.fetched(df, "k", "b", "t", "s", "u").collect()}
+    assert got == {1: (True, [], "2026-02-03"), 2: (False, ["empty_content", "http_status_404", "insufficient_text"], None), 3: (True, [], "2026-01-05"), 4: (False, ["unsupported_content_type"], None)}
