@@ -220,7 +220,7 @@ def _same_reading(each: DataFrame) -> DataFrame:
             yield pd.DataFrame([(*k, g) for x, g in zip(b["run"], b["group"]) for k in readings(x)], columns=["reading", "chain", "group"])
 
     east = runs.where(F.col("run").rlike(_EAST)).groupBy("run").agg(F.min("group").alias("group"))
-    west = runs.where(~F.col("run").rlike(_EAST)).select(F.unhex(F.md5(F.col("run").cast("binary"))).alias("reading"))
+    west = runs.where(~F.col("run").rlike(_EAST)).select("run").distinct().select(F.unhex(F.md5(F.col("run").cast("binary"))).alias("reading"))
     return east.mapInPandas(run, "reading binary, chain int, group binary").join(west, "reading", "left_semi").select("chain", "group")
 
 
