@@ -65,10 +65,21 @@ def snowflake_instant(ident: Column) -> Column:
     return F.timestamp_millis(F.shiftright(ident.cast("bigint"), 22) + F.lit(1288834974657))
 
 
+def snowflake_millis(ident: Column) -> Column:
+    """Milliseconds since 1970 at which a snowflake id was made, for ids of more than 64 bits too; null where a bigint cannot hold them."""
+    # of more than 27 digits no milliseconds fit; the quotient has 8 decimals, enough for none to be rounded up to a whole
+    return (F.floor(ident.try_cast("decimal(27,0)") / F.lit(4194304)) + F.lit(1288834974657)).try_cast("bigint")
+
+
+def status_id(url: Column) -> Column:
+    """The digits of the snowflake id in the address of a post on X or Twitter; null for other addresses."""
+    return F.nullif(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)^https?://(?:[^/?#@]*@)?(?:www\.)?(?:x|twitter)\.com/[^?#]*?/status/(\d+)", 1), F.lit(""))
+
+
 def status_url_instant(url: Column) -> Column:
-    """Instant of a post on X or Twitter by the snowflake id in its address; null for other addresses."""
-    ident = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)^https?://(?:[^/?#@]*@)?(?:www\.)?(?:x|twitter)\.com/[^?#]*?/status/(\d+)", 1)
-    return F.when(ident != "", F.timestamp_millis(F.shiftright(ident.try_cast("bigint"), 22) + F.lit(1288834974657)))
+    """Instant of a post on X or Twitter by the snowflake id in its address; null for other addresses, and past the range of timestamps."""
+    made = snowflake_millis(status_id(url))
+    return F.when(made <= 9223372036854775, F.timestamp_millis(made))
 
 
 def freshness(as_of: Column, window_days: Column, *dates: Column) -> tuple[Column, Column]:

@@ -74,10 +74,10 @@ def written_dates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, (event_id * 4194304 * 1000000 >> 22) + 1288834974657 AS made_ms FROM events WHERE event_id % 3 <> 0")
 def post_dates(spark: SparkSession, d: str) -> DataFrame:
-    ident = (F.col("event_id") * F.lit(4194304) * F.lit(1000000)).cast("string")
+    ident = (F.col("event_id").cast("decimal(19,0)") * F.lit(4194304) * F.lit(1000000)).cast("string")  # of more than 64 bits from 2,199,024 on
     url = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("https://y.com/a/status/"), ident)).otherwise(F.concat(F.lit("https://WWW.X.com/some.one/status/"), ident, F.lit("?s=20")))
-    made = table(spark, d, "events").select("event_id", F.unix_millis(dates.status_url_instant(url)).alias("made_ms"))
-    return made.where("made_ms is not null")
+    posts = table(spark, d, "events").select("event_id", dates.status_id(url).alias("post")).where("post is not null")
+    return posts.select("event_id", dates.snowflake_millis(F.col("post")).alias("made_ms"))
 
 
 @query()

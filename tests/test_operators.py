@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import dates, text
 from sievework.operators import claims, content, copies, execution, relevance, rows
+from sievework.plans import pages
 from sievework.sources import records, sinks
 from sievework.streaming import ingest
 
@@ -41,6 +42,22 @@ def test_dates(spark):
     assert [tuple(r) for r in df.select(s, a).collect()] == [("fresh", 30), ("stale", 31), ("future_dated", -30), ("undated", None), ("not_applicable", None)]
 
 
+def test_posts_are_dated_by_ids_of_any_length(spark):
+    ids = [0, 1, (1 << 22) - 1, 1 << 22, (1 << 63) - 1, 1 << 63, (1 << 64) - 1, 5_999_999 * 4194304 * 1000000 - 1, (9_000_000_000_000_000_000 << 22) + 4194303, ((1 << 63) - 1 - 1288834974657 << 22) + 4194303, (1 << 63) - 1288834974657 << 22, 10**27, 10**60]
+    want = [ms if (ms := (i >> 22) + 1288834974657) < 1 << 63 else None for i in ids]
+    df = spark.createDataFrame([(k, f"https://x.com/a/status/{i}?s=20") for k, i in enumerate(ids)] + [(98, "https://y.com/a/status/1"), (99, None)], "k int, url string").orderBy("k")
+    assert [r[0] for r in df.select(dates.snowflake_millis(dates.status_id(F.col("url")))).collect()] == [*want, None, None]
+    # timestamps hold microseconds, so end a thousand times sooner
+    assert [r[0] for r in df.select(F.unix_millis(dates.status_url_instant(F.col("url")))).collect()] == [ms if ms and ms < 1 << 53 else None for ms in want] + [None, None]
+
+
+def test_post_dates_of_large_event_ids(spark, tmp_path):
+    ids = [1, 3, 2199023, 2199024, 2199025, 5999999, 10_000_000_000, 9_000_000_000_001]
+    spark.createDataFrame([(i,) for i in ids], "event_id bigint").write.parquet(str(tmp_path / "events.parquet"))
+    got = {tuple(r) for r in pages.post_dates(spark, str(tmp_path)).collect()}
+    assert got == {(i, i * 1000000 + 1288834974657) for i in ids if i % 3}
+
+
 def test_positions_are_dense_on_any_partitioning(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
     got = rows.with_position(df, ["k"], "n").collect()
