@@ -60,11 +60,6 @@ def latest_date(c: Column) -> Column:
     return F.array_max(F.transform(found, lambda d: F.try_to_date(F.regexp_replace(d, "[-/]", ""), "yyyyMMdd")))
 
 
-def snowflake_instant(ident: Column) -> Column:
-    """Instant that a snowflake id was made."""
-    return F.timestamp_millis(F.shiftright(ident.cast("bigint"), 22) + F.lit(1288834974657))
-
-
 def snowflake_millis(ident: Column) -> Column:
     """Milliseconds since 1970 at which a snowflake id was made, for ids of more than 64 bits too; null where a bigint cannot hold them."""
     # of more than 27 digits no milliseconds fit; the quotient has 8 decimals, enough for none to be rounded up to a whole
@@ -76,10 +71,15 @@ def status_id(url: Column) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)^https?://(?:[^/?#@]*@)?(?:www\.)?(?:x|twitter)\.com/[^?#]*?/status/(\d+)", 1), F.lit(""))
 
 
+def snowflake_instant(ident: Column) -> Column:
+    """Instant that a snowflake id was made; null past the range of timestamps."""
+    made = snowflake_millis(ident)
+    return F.when(made.between(-9223372036854775, 9223372036854775), F.timestamp_millis(made))
+
+
 def status_url_instant(url: Column) -> Column:
     """Instant of a post on X or Twitter by the snowflake id in its address; null for other addresses, and past the range of timestamps."""
-    made = snowflake_millis(status_id(url))
-    return F.when(made <= 9223372036854775, F.timestamp_millis(made))
+    return snowflake_instant(status_id(url))
 
 
 def freshness(as_of: Column, window_days: Column, *dates: Column) -> tuple[Column, Column]:

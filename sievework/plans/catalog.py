@@ -152,8 +152,8 @@ def freshness_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, (event_id * 4194304 * 1000000 >> 22) + 1288834974657 AS made_ms FROM events")
 def snowflake_dates(spark: SparkSession, d: str) -> DataFrame:
-    ident = F.col("event_id") * F.lit(4194304) * F.lit(1000000)
-    return table(spark, d, "events").select("event_id", F.unix_millis(dates.snowflake_instant(ident)).alias("made_ms"))
+    ident = F.col("event_id").cast("decimal(19,0)") * F.lit(4194304) * F.lit(1000000)  # of more than 64 bits from 2,199,024 on
+    return table(spark, d, "events").select("event_id", dates.snowflake_millis(ident).alias("made_ms"))
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import dates, text
 from sievework.operators import claims, content, copies, execution, relevance, rows
-from sievework.plans import pages
+from sievework.plans import catalog, pages
 from sievework.sources import records, sinks
 from sievework.streaming import ingest
 
@@ -58,6 +58,15 @@ def test_post_dates_of_large_event_ids(spark, tmp_path):
     assert got == {(i, i * 1000000 + 1288834974657) for i in ids if i % 3}
 
 
+def test_snowflake_dates_of_large_event_ids(spark, tmp_path):
+    ids = [-5, 0, 2199023, 2199024, 5999999, 10_000_000_000, 9_000_000_000_001]
+    spark.createDataFrame([(i,) for i in [*ids, None]], "event_id bigint").write.parquet(str(tmp_path / "events.parquet"))
+    got = {tuple(r) for r in catalog.snowflake_dates(spark, str(tmp_path)).collect()}
+    assert got == {(i, i * 1000000 + 1288834974657) for i in ids} | {(None, None)}
+    short = spark.createDataFrame([(-1,), (-4194305,), (4194303,)], "i bigint").select(F.unix_millis(dates.snowflake_instant(F.col("i"))))
+    assert [r[0] - 1288834974657 for r in short.collect()] == [-1, -2, 0]
+
+
 def test_positions_are_dense_on_any_partitioning(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
     got = rows.with_position(df, ["k"], "n").collect()
